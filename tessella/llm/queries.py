@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_trie_bpe
 from .sharding import op5_jump_sharding
+from .toxicity import op1_nnpu_toxicity
 from .warc import OP3_SQL, op3_warc_archive
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_nnpu_toxicity": op1_nnpu_toxicity,
         "op3_warc_archive": op3_warc_archive,
         "op4_trie_bpe": op4_trie_bpe,
         "op5_jump_sharding": op5_jump_sharding,

@@ -26,7 +26,7 @@ MAX_UNLABELLED = 9000
 MAX_CALIBRATION = 6000
 #: A feature counts if so many of the positive sample's documents have it, and such a share of them.
 MIN_POSITIVE_DOCS = 4
-MIN_POSITIVE_SHARE = 0.005
+MIN_POSITIVE_SHARE = 0.01
 BITS = 20
 #: Lengths of word beginnings, in bytes.
 BEGINNINGS = (4, 5, 6, 7)
@@ -83,7 +83,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 250, rate: float = 0.05, penalty: float = 2e-4) -> Model:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, penalty: float = 1e-3) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss. Deterministic. Without positives every score is the prior."""
     counts = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=1 << BITS)
     bins = np.flatnonzero(counts >= max(MIN_POSITIVE_DOCS, len(positive) * MIN_POSITIVE_SHARE))
@@ -116,7 +116,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    kept = np.abs(w) > 0.02
+    kept = np.abs(w) > 0.005
     return Model(bins[kept], w[kept], float(b))
 
 

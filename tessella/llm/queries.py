@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_trie_bpe
+from .neardup import op6_minhash_neardup
 from .sharding import op5_jump_sharding
 from .toxicity import op1_nnpu_toxicity
 from .warc import OP3_SQL, op3_warc_archive
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_archive": op3_warc_archive,
         "op4_trie_bpe": op4_trie_bpe,
         "op5_jump_sharding": op5_jump_sharding,
+        "op6_minhash_neardup": op6_minhash_neardup,
     }
 
 

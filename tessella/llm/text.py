@@ -68,10 +68,10 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     if not n:
         return words
     if n < size:
-        out = np.uint64(n)
-        for w in words:
-            out = mix(np.array([out * np.uint64(3) + w]))[0] if n else out
-        return np.array([out], np.uint64)
+        out = np.full(1, n, np.uint64)
+        for k in range(n):
+            out = mix(out * np.uint64(3) + words[k : k + 1])
+        return out
     out = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
         out = out * np.uint64(_BASE) + words[k : n - size + 1 + k]

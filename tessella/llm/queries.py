@@ -10,6 +10,7 @@ from .bpe import op4_trie_bpe
 from .neardup import op6_minhash_neardup
 from .sharding import op5_jump_sharding
 from .toxicity import op1_nnpu_toxicity
+from .vectors import op9_cover_tree
 from .warc import OP3_SQL, op3_warc_archive
 
 
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_trie_bpe": op4_trie_bpe,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_minhash_neardup": op6_minhash_neardup,
+        "op9_cover_tree": op9_cover_tree,
     }
 
 

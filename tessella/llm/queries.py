@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_trie_bpe
 from .neardup import op6_minhash_neardup
+from .secrets import op7_char_cnn_secrets
 from .sharding import op5_jump_sharding
 from .toxicity import op1_nnpu_toxicity
 from .vectors import op9_cover_tree
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_trie_bpe": op4_trie_bpe,
         "op5_jump_sharding": op5_jump_sharding,
         "op6_minhash_neardup": op6_minhash_neardup,
+        "op7_char_cnn_secrets": op7_char_cnn_secrets,
         "op9_cover_tree": op9_cover_tree,
     }
 

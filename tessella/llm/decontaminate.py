@@ -143,9 +143,9 @@ def leaks(words: np.ndarray, items: Items) -> list[tuple[int, float, int]]:
 
 
 def tokens(texts: list[str | None]) -> list[np.ndarray]:
-    """Token hashes of each text: runs of letters and digits, ASCII lower-cased."""
+    """Token hashes of each text: runs of letters and digits, lower-cased."""
     out: list[np.ndarray] = []
-    for first, last, data, offsets in blobs(texts):
+    for first, last, data, offsets in blobs([t and t.lower() for t in texts]):
         words, start, _ = word_hashes(data, IS_TOKEN)
         cut = np.searchsorted(start, offsets)
         out += [words[cut[i] : cut[i + 1]] for i in range(last - first)]

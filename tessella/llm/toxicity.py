@@ -54,7 +54,7 @@ def _features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 def document_features(texts: list[str | None]) -> list[np.ndarray]:
     """The distinct features of each text."""
     out: list[np.ndarray] = []
-    for first, last, data, offsets in blobs(texts):
+    for first, last, data, offsets in blobs([t and t.lower() for t in texts]):
         found, start = _features(data)
         cut = np.searchsorted(start, offsets)
         out += [np.unique(found[:, cut[i] : cut[i + 1]]).astype(np.int32) for i in range(last - first)]
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 def score_texts(model: Model, weights: np.ndarray, texts: list[str | None]) -> np.ndarray:
     """Scores from 0 to 1. Only features with a weight are kept before each is counted once a document."""
     out = np.full(len(texts), model.bias)
-    for first, last, data, offsets in blobs(texts):
+    for first, last, data, offsets in blobs([t and t.lower() for t in texts]):
         found, start = _features(data)
         kind, word = np.nonzero(weights[found])
         bins = found[kind, word]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op4_trie_bpe
 from .decontaminate import op10_string_tiling
+from .lm_scoring import op8_cross_entropy
 from .neardup import op6_minhash_neardup
 from .secrets import op7_char_cnn_secrets
 from .sharding import op5_jump_sharding
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_jump_sharding": op5_jump_sharding,
         "op6_minhash_neardup": op6_minhash_neardup,
         "op7_char_cnn_secrets": op7_char_cnn_secrets,
+        "op8_cross_entropy": op8_cross_entropy,
         "op9_cover_tree": op9_cover_tree,
         "op10_string_tiling": op10_string_tiling,
     }

@@ -12,6 +12,7 @@ from .lm_scoring import op8_cross_entropy
 from .neardup import op6_minhash_neardup
 from .secrets import op7_char_cnn_secrets
 from .sharding import op5_jump_sharding
+from .suffixes import op2_suffix_dedup
 from .toxicity import op1_nnpu_toxicity
 from .vectors import op9_cover_tree
 from .warc import OP3_SQL, op3_warc_archive
@@ -20,6 +21,7 @@ from .warc import OP3_SQL, op3_warc_archive
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_nnpu_toxicity": op1_nnpu_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_warc_archive": op3_warc_archive,
         "op4_trie_bpe": op4_trie_bpe,
         "op5_jump_sharding": op5_jump_sharding,

@@ -3,9 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessella.llm.bpe import default_tokenizer, encoding_digests
-from tessella.llm.common import table, written
+from tessella.llm.common import DOCUMENT_COLUMNS, table, written
+from tessella.llm.decontaminate import without_leaks
+from tessella.llm.neardup import near_duplicates
+from tessella.llm.secrets import redact_documents
+from tessella.llm.toxicity import keep_clean
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without those that the classifier takes for toxic."""
+    return keep_clean(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id. Rows that repeat its doc_id go with the group."""
+    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no benchmark item leaks into."""
+    return without_leaks(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with found secrets replaced by the names of their kinds, and n_chars following the text."""
+    out = redact_documents(docs.select(*DOCUMENT_COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoding_digests(docs, default_tokenizer())
 
 
-STAGES = [("tokens", tokens)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 #: SQL can't express the trained classifiers; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 

@@ -224,5 +224,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that are predicted toxic; the columns stay as they are. A null text is kept or not by its score, like an empty one."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.table()
+        for b in batches:
+            score = score_texts(model, weights, b.column(b.schema.get_field_index("text")).to_pylist())
+            yield b.filter(pa.array(score < THRESHOLD))
+
+    return map_arrow(docs, run, docs.schema)
+
+
 def op1_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

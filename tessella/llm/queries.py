@@ -11,7 +11,7 @@ from .decontaminate import op10_string_tiling
 from .lm_scoring import op8_cross_entropy
 from .neardup import op6_minhash_neardup
 from .secrets import op7_char_cnn_secrets
-from .sharding import op5_jump_sharding
+from .sharding import OP5_SQL, op5_jump_sharding
 from .suffixes import op2_suffix_dedup
 from .toxicity import op1_nnpu_toxicity
 from .vectors import op9_cover_tree
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": OP3_SQL}
+    return {"op3_warc_archive": OP3_SQL, "op5_jump_sharding": OP5_SQL}

@@ -58,6 +58,13 @@ def jump_hash(key: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(n + 2)), start, jump, lambda s: F.struct(s["shard"].cast("int").alias("shard"), s["grown"].cast("int").alias("grown")))
 
 
+def slice_of(key: Column, slices: int) -> Column:
+    """A slice for numbering: high bits of the generator's first state, which say little about the shard."""
+    key = F.coalesce(key.cast("long"), F.lit(0).cast("long"))
+    hi, _ = _step(F.shiftrightunsigned(key, 32), key.bitwiseAND(F.lit(_M32)))
+    return F.pmod(F.shiftrightunsigned(hi, 1), F.lit(slices)).cast("int")
+
+
 def assign_shards(docs: DataFrame, n: int = N_SHARDS, key: str = "doc_id", text: str = "text", slices: int = SLICES) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
 
@@ -74,7 +81,7 @@ def assign_shards(docs: DataFrame, n: int = N_SHARDS, key: str = "doc_id", text:
     )
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("at", jump_hash(F.col("doc_id"), n)).withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int"))
+        return df.withColumn("at", jump_hash(F.col("doc_id"), n)).withColumn("slice", slice_of(F.col("doc_id"), slices))
 
     counts = placed(docs.select(F.col(key).alias("doc_id"))).groupBy(F.col("at.shard").alias("shard"), "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,3 +96,33 @@ def assign_shards(docs: DataFrame, n: int = N_SHARDS, key: str = "doc_id", text:
 
 def op5_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
+
+
+#: The same in SQL: the generator on 128-bit numbers, and CRC-32 by a table that a recursion makes.
+OP5_SQL = """
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT doc_id, CASE WHEN coalesce(doc_id, 0) < 0 THEN doc_id::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0)::HUGEINT END AS key FROM documents
+), jumps AS (
+  SELECT doc_id, key, 0::BIGINT AS j FROM ids
+  UNION ALL
+  SELECT doc_id, next, CAST(floor((j + 1)::DOUBLE * (2147483648.0::DOUBLE / ((next // 8589934592) + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT doc_id, j, (key * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM jumps WHERE j < 25)
+), places AS (
+  SELECT doc_id, CAST(max(j) FILTER (j < 24) AS INTEGER) AS shard, CAST(max(j) FILTER (j < 25) AS INTEGER) AS grown_shard FROM jumps GROUP BY doc_id
+), steps AS (
+  SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8
+), codes AS (
+  SELECT list(c ORDER BY i) AS l FROM steps WHERE k = 8
+), rows AS (
+  SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen(text)), lambda k: ('0x' || substr(h, 2 * k + 1, 2))::BIGINT)),
+        lambda a, b: xor(a >> 8, l[xor(a & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM (SELECT doc_id, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS h FROM documents), codes
+)
+SELECT r.doc_id, size, text_crc32, 'key' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY ((key * 2862933555777941757 + 1) % 18446744073709551616 // 8589934592) % 1024, r.doc_id NULLS FIRST, text_crc32, size) - 1 AS slot,
+  grown_shard
+FROM rows r JOIN places p ON r.doc_id IS NOT DISTINCT FROM p.doc_id JOIN ids i ON r.doc_id IS NOT DISTINCT FROM i.doc_id
+"""

@@ -32,7 +32,7 @@ class Compiler:
     """Compiles one statement. table gives a relation's DataFrame by name.
 
     compat turns on results of the older dialect where they differ from SQL: a chain with any plain UNION drops
-    all duplicates, and * over a join is one JSON column.
+    all duplicates, * over a join is one JSON column, a bare column beside aggregates takes a row's value, and aggregates are as Renderer says.
     """
 
     def __init__(self, spark: SparkSession, table: Callable[[str], DataFrame], params: list[Any] | None = None, compat: bool = False):
@@ -81,7 +81,7 @@ class Compiler:
             relations.append((alias, dict(frame.dtypes)))
             sources.append(f"{marker} AS {quoted(alias)}")
         scope = Scope(relations)
-        render = Renderer(scope, self.bound, self.inner, self.params)
+        render = Renderer(scope, self.bound, self.inner, self.params, self.compat)
 
         def value(e: Any) -> str:
             return render(_first_rows(e))
@@ -100,7 +100,10 @@ class Compiler:
                 names += [name for _, name in got]
                 continue
             name = item.alias or _default_name(item.expr)
-            columns.append(f"{value(item.expr)} AS {quoted(name)}")
+            text_ = value(item.expr)
+            if self.compat and aggregated and isinstance(item.expr, n.Col) and not any(scope.find(item.expr) == scope.find(g) for g in q.group):
+                text_ = f"first({text_})"  # some row's value
+            columns.append(f"{text_} AS {quoted(name)}")
             names.append(name)
         out = f"SELECT {'DISTINCT ' * q.distinct}{', '.join(columns)} FROM {text}"
         if q.where is not None:

@@ -10,6 +10,7 @@ from .bpe import op4_trie_bpe
 from .decontaminate import op10_string_tiling
 from .lm_scoring import op8_cross_entropy
 from .neardup import op6_minhash_neardup
+from .oracles import OP2_SQL, OP6_SQL, OP9_SQL
 from .secrets import op7_char_cnn_secrets
 from .sharding import OP5_SQL, op5_jump_sharding
 from .suffixes import op2_suffix_dedup
@@ -34,4 +35,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc_archive": OP3_SQL, "op5_jump_sharding": OP5_SQL}
+    return {
+        "op2_suffix_dedup": OP2_SQL,
+        "op3_warc_archive": OP3_SQL,
+        "op5_jump_sharding": OP5_SQL,
+        "op6_minhash_neardup": OP6_SQL,
+        "op9_cover_tree": OP9_SQL,
+    }

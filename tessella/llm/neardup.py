@@ -12,12 +12,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, small_batches, table, written
+from .common import connected_components, map_arrow, table, written
 from .text import blobs, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -146,27 +145,86 @@ def _blocks(members: DataFrame, group: str, size: str) -> DataFrame:
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
 
 
-def _close_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("id")
-    ids = rows["id"].to_numpy()
-    sigs = np.frombuffer(b"".join(rows["sig"]), np.uint16).reshape(-1, SYMBOLS)
-    found = close_forest(sigs, rows["n_shingles"].to_numpy()) if len(rows) > 1 else []
-    return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
-
-
-def _exact_edges(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.drop_duplicates("id")
-    ids = rows["id"].to_numpy()
-    found = exact_forest([np.frombuffer(s, np.uint64) for s in rows["set"]]) if len(rows) > 1 else []
-    return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+#: Groups of up to so many members are compared row against row for a whole batch at once.
+SMALL = 16
+
+
+def _close_pairs(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
+    """Edges inside each run of equal group numbers: all close pairs of small groups, a spanning forest of large ones."""
+    edges = []
+    first, last = np.flatnonzero(np.diff(group, prepend=-1)), np.flatnonzero(np.diff(group, append=-1)) + 1
+    small = np.repeat(last - first <= SMALL, last - first)
+    for d in range(1, SMALL):
+        at = np.flatnonzero(small[:-d] & (group[d:] == group[:-d])) if len(group) > d else []
+        if not len(at):
+            break
+        low, high = np.minimum(sizes[at], sizes[at + d]), np.maximum(sizes[at], sizes[at + d])
+        at = at[(ids[at] != ids[at + d]) & (100 * low >= PERCENT * high)]
+        at = at[(sigs[at] != sigs[at + d]).sum(1) <= MAX_DISTANCE]
+        edges.append(np.stack([ids[at], ids[at + d]], 1))
+    for a, b in zip(first.tolist(), last.tolist(), strict=True):
+        if b - a > SMALL:
+            found = close_forest(sigs[a:b], sizes[a:b])
+            edges.append(ids[a:b][np.array(found, int).reshape(-1, 2)])
+    return edges
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int, size: int) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by keys, in tables that end where a group ends, of at least so many rows or bytes."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        if sum(x.num_rows for x in held) < rows and sum(x.nbytes for x in held) < size:
+            continue
+        table_ = pa.Table.from_batches(held)
+        group = _numbered(table_, keys)
+        cut = int(np.searchsorted(group, group[-1]))
+        if cut:
+            yield table_.slice(0, cut).combine_chunks()
+        held = table_.slice(cut).combine_chunks().to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _numbered(rows: pa.Table, keys: list[str]) -> np.ndarray:
+    """Group number of each row, from 0, by changes of the keys."""
+    change = np.zeros(rows.num_rows, bool)
+    for k in keys:
+        x = rows.column(k).to_numpy()
+        change[1:] |= x[1:] != x[:-1]
+    return np.cumsum(change)
+
+
+def _pairs(edges: list[np.ndarray]) -> pa.RecordBatch:
+    every = np.concatenate([np.zeros((0, 2), np.int64), *edges])
+    every = np.unique(np.sort(every, 1), axis=0) if len(every) else every
+    return pa.record_batch([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
+
+
+def _close_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["key", "i", "j"]
+    for rows in _grouped(batches, keys, 20_000, 1 << 24):
+        sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        yield _pairs(_close_pairs(_numbered(rows, keys), rows.column("id").to_numpy(), rows.column("n_shingles").to_numpy(), sigs))
+
+
+def _exact_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys = ["blob", "i", "j"]
+    for rows in _grouped(batches, keys, 5_000, 1 << 24):
+        group, ids = _numbered(rows, keys), rows.column("id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
+        cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+        yield _pairs([ids[a:b][np.array(exact_forest(sets[a:b]), int).reshape(-1, 2)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Texts with equal sets are one class from the start, represented by the smallest doc_id; only classes are indexed. A bucket
-    that holds a third of all rows is compared in pairs of blocks that send on a spanning forest, never all pairs. Null and empty texts, and rows
-    with a null doc_id, link with nothing (a null doc_id is its own null component, kept). Fewer than five words
+    that holds a third of all rows is compared in pairs of blocks that send on a spanning forest, never all pairs. Null and empty texts link with nothing. A row with a null
+    doc_id founds no class: it takes the component of an equal text, if there is one, and is then not kept. Fewer than five words
     are one shingle. Repeated rows get equal results. An empty table gives none, and other columns are ignored.
     """
     spark = docs.sparkSession
@@ -179,9 +237,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     index = classes.select("id", "n_shingles", "sig", F.explode(F.array(*_keys())).alias("key"))
     shared = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = index.join(shared, "key")
-    small_batches(spark, 10_000)
-    close = _blocks(members, "key", "size").groupBy("key", "i", "j").applyInPandas(_close_edges, "a long, b long")
-    close = written(close.distinct(), "near-close")
+    dealt = _blocks(members, "key", "size").select("key", "i", "j", "id", "n_shingles", "sig")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    close = written(map_arrow(dealt, _close_edges, "a long, b long", 10_000).distinct(), "near-close")
     blob = connected_components(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), close, "near-blob")
     blob = written(blob.withColumnRenamed("component", "blob"), "near-blobs")
     sizes = blob.groupBy("blob").agg(F.count("*").alias("size"))
@@ -190,8 +248,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if blob.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
     sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _packed_sets, "id long, set binary", 500)
-    links = _blocks(sets.join(inside, "id"), "blob", "size").groupBy("blob", "i", "j").applyInPandas(_exact_edges, "a long, b long")
-    links = written(links.distinct(), "near-links")
+    # rows that repeat a doc_id would meet themselves
+    sets = sets.join(inside, "id").dropDuplicates(["id", "set"])
+    dealt = _blocks(sets, "blob", "size").select("blob", "i", "j", "id", "set").repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "id")
+    links = written(map_arrow(dealt, _exact_edges, "a long, b long", 200).where("a != b").distinct(), "near-links")
     joined = connected_components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links, "near-component")
     # only classes that have copies or links change anything
     told = classes.select("digest", "id", "copies").join(joined, "id", "left").where("copies > 1 or component is not null")

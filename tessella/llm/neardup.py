@@ -234,9 +234,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")),
         "near-classes",
     )
-    index = classes.select("id", "n_shingles", "sig", F.explode(F.array(*_keys())).alias("key"))
+    # only keys and ids are shuffled for the index; signatures follow to the members of shared buckets alone
+    index = classes.select("id", F.explode(F.array(*_keys())).alias("key"))
     shared = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = index.join(shared, "key")
+    members = index.join(shared, "key").join(classes.select("id", "n_shingles", "sig"), "id")
     dealt = _blocks(members, "key", "size").select("key", "i", "j", "id", "n_shingles", "sig")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
     close = written(map_arrow(dealt, _close_edges, "a long, b long", 10_000).distinct(), "near-close")

@@ -142,3 +142,18 @@ def test_tree_covers():
         assert np.linalg.norm(own - x[tree.centre[k]], axis=1).max() <= tree.radius[k] + 1e-7
         for c in tree.children[k]:
             assert tree.first[k] <= tree.first[c] and tree.last[c] <= tree.last[k]
+
+
+@pytest.mark.parametrize("finish", [500_000, 0])
+def test_components(spark, monkeypatch, finish):
+    from tessella.llm import common
+
+    monkeypatch.setattr(common, "FINISH_EDGES", finish)
+    rng = random.Random(5)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, k) for k in range(2001, 2100)] + [(7, 7), (None, 3)]
+    ids = sorted({v for e in edges for v in e if v is not None} | {9999})
+    got = common.connected_components(spark.createDataFrame([(i,) for i in ids], "id long"), spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    want = components(ids, [e for e in edges if None not in e])
+    assert {r.id: r.component for r in got} == want
+    none = common.connected_components(spark.createDataFrame([(1,)], "id long"), spark.createDataFrame([], "a long, b long"), "test").collect()
+    assert [(r.id, r.component) for r in none] == [(1, 1)]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.llm.bpe import default_tokenizer, encoding_digests
 from tessella.llm.common import DOCUMENT_COLUMNS, table, written
 from tessella.llm.decontaminate import without_leaks
-from tessella.llm.neardup import near_duplicates
+from tessella.llm.neardup import BROADCAST_ROWS, near_duplicates
 from tessella.llm.secrets import redact_documents
 from tessella.llm.toxicity import keep_clean
 
@@ -20,7 +20,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id. Rows that repeat its doc_id go with the group."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
+    # a list of ids is sent everywhere up to a size, and texts are shuffled beyond
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.select(*DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
 
 

@@ -1,28 +1,33 @@
 """Language-model scoring by cross-entropy difference (Moore and Lewis, 2010).
 
-Two bigram models of the same form, one of target documents and one of all others, share one vocabulary: the words that make
-up at least 1 / MAX_VOCABULARY of all tokens (so there can't be more than MAX_VOCABULARY), and one class for all other words.
+Two bigram models of the same form, one of target documents and one of all others, share one vocabulary: every word that occurs.
+The counts of words and of pairs of words stay distributed tables, and documents meet their losses by a join on (history, word).
 A document's score is its loss per token under the target model less that under the background model; lower is closer to the target.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table, written
-from .text import IS_LETTER, blobs, word_hashes
+from .text import IS_LETTER, blobs, mix, word_hashes
 
-#: No word outside this share of all tokens is modelled by itself; the two tables of losses then hold at most 3001 ** 2 numbers of 4 bytes each.
-MAX_VOCABULARY = 3000
+#: A word is modelled by itself from a share of 1 / MAX_VOCABULARY of all tokens on: no word is too rare.
+MAX_VOCABULARY = math.inf
 #: Absolute discount of bigram counts; the mass that it frees goes to the unigram distribution.
 DISCOUNT = 0.75
-#: A task sends its counts on when it holds so many.
+#: A task sums its counts and sends them on when it holds so many.
 FLUSH = 2_000_000
+#: Losses are added up as whole numbers of this fraction, so that sums don't depend on their order.
+STEPS = 1_000_000_000
+#: The history of a document's first word, and the number of a posting that stands for a document and not for a pair.
+START, HEADER, NO_ID = 0, -1, -2
 
 
 def _words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -33,125 +38,105 @@ def _words(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarra
         yield first, words, np.repeat(np.arange(last - first), np.diff(cut)), cut
 
 
-class _Counter:
-    """Sums of counts by 64-bit key, kept sorted."""
+def _histories(words: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The word before each word; START for a document's first."""
+    before = np.concatenate((words[:1], words[:-1]))
+    before[cut[:-1][cut[:-1] < len(words)]] = START
+    return before
 
-    def __init__(self, width: int):
-        self.keys, self.counts, self.width = np.zeros(0, np.int64), np.zeros((0, width), np.int64), width
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        keys, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
-        every = np.concatenate([self.counts, counts])
-        self.counts = np.stack([np.bincount(at, every[:, k], len(keys)).astype(np.int64) for k in range(self.width)], 1) if len(keys) else self.counts[:0]
-        self.keys = keys
+def _pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + words)
 
-    def take(self, names: list[str]) -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(self.keys), *(pa.array(self.counts[:, k]) for k in range(self.width))], names)
-        self.__init__(self.width)
-        return out
 
+def _summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(history, word, background, target) with the counts of each pair that is held."""
+    before, words, own = (np.concatenate(x) for x in zip(*held, strict=True))
+    _, first, at = np.unique(_pair_keys(before, words), return_index=True, return_inverse=True)
+    total, target = np.bincount(at), np.bincount(at, own).astype(np.int64)
+    return pa.record_batch([pa.array(x) for x in (before[first].view(np.int64), words[first].view(np.int64), total - target, target)], ["history", "word", "background", "target"])
 
-def _split_counts(keys: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with their counts in background and target."""
-    keys, at = np.unique(keys, return_inverse=True)
-    total, own = np.bincount(at, minlength=len(keys)), np.bincount(at, target, len(keys)).astype(np.int64)
-    return keys.astype(np.int64), np.stack([total - own, own], 1)
 
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = _Counter(1)
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for b in batches:
-        for _, words, _, _ in _words(b.column(0).to_pylist()):
-            keys, counts = np.unique(words.view(np.int64), return_counts=True)
-            held.add(keys, counts[:, None])
-        if len(held.keys) > FLUSH:
-            yield held.take(["word", "n"])
-    yield held.take(["word", "n"])
-
-
-def _coded(words: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    """Position in the sorted vocabulary, plus one; 0 for all other words."""
-    at = np.searchsorted(vocabulary, words.view(np.int64))
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == words.view(np.int64), at + 1, 0) if len(vocabulary) else np.zeros(len(words), np.int64)
-
-
-def _pairs(codes: np.ndarray, cut: np.ndarray, size: int) -> np.ndarray:
-    """history * size + word; a document's first word has the history 0."""
-    before = np.concatenate(([0], codes[:-1])) if len(codes) else codes
-    before[cut[:-1][cut[:-1] < len(codes)]] = 0
-    return before * size + codes
+        is_target = b.column(1).to_numpy(zero_copy_only=False)
+        for first, words, text, cut in _words(b.column(0).to_pylist()):
+            if len(words):
+                held.append((_histories(words, cut), words, is_target[first + text]))
+                size += len(words)
+        if size > FLUSH:
+            yield _summed(held)
+            held, size = [], 0
+    if held:
+        yield _summed(held)
+
+
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, row, n): how often a row of the input has a pair; and for each row itself its doc_id as pair with n = HEADER, or NO_ID."""
+    for b in batches:
+        rows = b.column(0).to_numpy()
+        null = b.column(1).is_null().to_numpy(zero_copy_only=False)
+        ids = np.where(null, rows, b.column(1).fill_null(0).to_numpy())
+        yield pa.record_batch([pa.array(ids), pa.array(rows), pa.array(np.where(null, NO_ID, HEADER))], ["pair", "row", "n"])
+        for first, words, text, cut in _words(b.column(2).to_pylist()):
+            if len(words):
+                pair = _pair_keys(_histories(words, cut), words)
+                order = np.lexsort((pair, text))
+                pair, text = pair[order], text[order]
+                fresh = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1]))))
+                n = np.diff(np.append(fresh, len(pair)))
+                yield pa.record_batch([pa.array(pair[fresh].view(np.int64)), pa.array(rows[first + text[fresh]]), pa.array(n)], ["pair", "row", "n"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(history, word) as the one key that postings have."""
+    for b in batches:
+        key = _pair_keys(*(b.column(k).to_numpy().view(np.uint64) for k in (0, 1)))
+        yield pa.record_batch([pa.array(key.view(np.int64)), b.column(2), b.column(3)], ["pair", "target_loss", "background_loss"])
 
 
-def losses(counts: np.ndarray, size: int) -> np.ndarray:
-    """Negative log probability of each (history, word), from its bigram counts, by interpolated absolute discounting."""
-    c = counts.reshape(size, size).astype(np.float64)
-    unigram = c.sum(0) + 1.0
-    unigram /= unigram.sum()
-    total = c.sum(1, keepdims=True)
-    kept = np.maximum(c - DISCOUNT, 0)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(total > 0, kept / total + (total - kept.sum(1, keepdims=True)) / total * unigram, unigram)
-    return -np.log(p).astype(np.float32)
+def _loss(name: str, total: int, size: int) -> Column:
+    """Negative log probability of a word after its history, by interpolated absolute discounting, in STEPS."""
+    c, n, kinds = F.col(name), F.col(f"{name}_n"), F.col(f"{name}_kinds")
+    unigram = (F.col(f"{name}_word") + F.lit(1.0)) / F.lit(float(total + size))
+    p = F.when(n > 0, (F.greatest(c - F.lit(DISCOUNT), F.lit(0.0)) + F.lit(DISCOUNT) * kinds * unigram) / n).otherwise(unigram)
+    return F.round(-F.log(p) * STEPS).cast("long").alias(f"{name}_loss")
 
 
 def score_cross_entropy(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, is_target, n_tokens, target_loss, background_loss, score of every row.
 
-    Target documents are those with a label of quality 1. All tokens of all documents are counted; a task's counts are summed before the
-    shuffle, so a word of a third of all tokens is one row from each task. Null and empty texts, and texts without letters, have no
-    tokens, zero losses and score 0. With no target documents at all, the target model is uniform. Repeated rows count each time
-    and get equal results. An empty table gives no rows. Other columns are ignored.
+    Target documents are those with a label of quality 1. All tokens of all documents are counted, and every word is modelled; a task's
+    counts are summed before the shuffle, so a pair that makes up a third of all tokens is one row from each task. Words and pairs are
+    compared by 64-bit hashes. Null and empty texts, and texts without letters, have no tokens, zero losses and score 0. With no target
+    documents at all, the target model is uniform. Repeated rows count each time and get equal results. An empty table gives no rows.
+    Other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = map_arrow(docs.select("text"), _count_words, "word long, n long", 500).groupBy("word").agg(F.sum("n").alias("n"))
-    words = written(words, "lm-words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    kept = words.where(F.col("n") * MAX_VOCABULARY >= F.lit(total)).select("word").toArrow().column(0).to_numpy()
-    vocabulary = np.sort(kept)
-    size = len(vocabulary) + 1
     target = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("is_target")).distinct()
     flags = docs.select("doc_id").distinct().join(target, "doc_id", "left_semi").withColumn("is_target", F.lit(True))
     flags = written(flags, "lm-target")
     # 16 bytes an id: sent whole up to a million, joined by a shuffle beyond
-    marked = docs.join(F.broadcast(flags) if flags.count() <= 1_000_000 else flags, "doc_id", "left").select("doc_id", "text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Counter(2)
-        names = ["pair", "background", "target"]
-        for b in batches:
-            own = b.column(1).to_numpy(zero_copy_only=False)
-            for first, words, text, cut in _words(b.column(0).to_pylist()):
-                held.add(*_split_counts(_pairs(_coded(words, vocabulary), cut, size), own[first + text]))
-            if len(held.keys) > FLUSH:
-                yield held.take(names)
-        yield held.take(names)
-
-    pairs = map_arrow(marked.select("text", "is_target"), count_pairs, "pair long, background long, target long", 500)
-    got = pairs.groupBy("pair").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    tables = []
-    for name in ("background", "target"):
-        counts = np.zeros(size * size, np.int64)
-        counts[got.column("pair").to_numpy()] = got.column(name).to_numpy()
-        tables.append(losses(counts, size).ravel())
-    sent = spark.sparkContext.broadcast((vocabulary, *tables))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, background, target = sent.value
-        for b in batches:
-            sums = np.zeros((3, b.num_rows))
-            for first, words, text, cut in _words(b.column(1).to_pylist()):
-                at = _pairs(_coded(words, vocabulary), cut, size)
-                n = len(cut) - 1
-                sums[:, first : first + n] = np.bincount(text, minlength=n), np.bincount(text, target[at], n), np.bincount(text, background[at], n)
-            each = sums[1:] / np.maximum(sums[0], 1)
-            yield pa.record_batch(
-                [b.column(0), b.column(2), pa.array(sums[0].astype(np.int64)), pa.array(each[0]), pa.array(each[1]), pa.array(each[0] - each[1])],
-                ["doc_id", "is_target", "n_tokens", "target_loss", "background_loss", "score"],
-            )
-
-    return map_arrow(marked.select("doc_id", "text", "is_target"), score, "doc_id long, is_target boolean, n_tokens long, target_loss double, background_loss double, score double", 500)
+    flags = F.broadcast(flags) if flags.count() <= 1_000_000 else flags
+    marked = docs.join(flags, "doc_id", "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    names = ("background", "target")
+    pairs = map_arrow(marked, _count_pairs, "history long, word long, background long, target long", 500)
+    pairs = written(pairs.groupBy("history", "word").agg(*(F.sum(n).alias(n) for n in names)), "lm-pairs")
+    words = written(pairs.groupBy("word").agg(*(F.sum(n).alias(f"{n}_word") for n in names)), "lm-words")
+    histories = pairs.groupBy("history").agg(*(F.sum(n).alias(f"{n}_n") for n in names), *(F.count_if(F.col(n) > 0).alias(f"{n}_kinds") for n in names))
+    sums = words.agg(F.count("*").alias("size"), *(F.coalesce(F.sum(f"{n}_word"), F.lit(0)).alias(n) for n in names)).first()
+    model = pairs.join(histories, "history").join(words, "word").select("history", "word", *(_loss(n, sums[n], sums["size"] + 1) for n in reversed(names)))
+    model = map_arrow(model, _keyed, "pair long, target_loss long, background_loss long", 100_000)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    found = map_arrow(rows, _postings, "pair long, row long, n long", 500).join(model, "pair", "left").groupBy("row")
+    real = F.col("n") > 0
+    each = [F.coalesce(F.sum(F.when(real, F.col("n") * F.col(f"{n}_loss"))), F.lit(0)).alias(f"{n}_loss") for n in reversed(names)]
+    found = found.agg(F.max(F.when(F.col("n") == HEADER, F.col("pair"))).alias("doc_id"), F.coalesce(F.sum(F.when(real, F.col("n"))), F.lit(0)).alias("n_tokens"), *each)
+    found = found.join(flags, "doc_id", "left").select(
+        "doc_id", F.coalesce("is_target", F.lit(False)).alias("is_target"), "n_tokens", *((F.col(f"{n}_loss") / (F.greatest("n_tokens", F.lit(1)) * STEPS)).alias(f"{n}_loss") for n in reversed(names))
+    )
+    return found.withColumn("score", F.col("target_loss") - F.col("background_loss"))
 
 
 def op8_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:

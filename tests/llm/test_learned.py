@@ -154,6 +154,15 @@ def test_language_models(spark, make):
     assert lm_scoring.score_cross_entropy(make([]), labels).count() == 0
 
 
+def test_rare_words_are_modelled(spark, make):
+    """Documents that differ only in words far below 1/3000 of all tokens get different scores."""
+    rows = [(0, "common azure topic"), (1, "common umber topic"), (2, "common azure topic"), (3, "common umber topic"), (9, "common " * 30_000)]
+    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in lm_scoring.score_cross_entropy(make(rows), labels).collect()}
+    assert got[2].score < got[3].score and got[1].score == got[3].score
+    assert got[9].n_tokens == 30_000 and got[0].is_target and not got[2].is_target
+
+
 def tiles_truth(item, text, least=5):
     """Greedy tiling by trying every pair of positions."""
     a, b = [True] * len(item), [True] * len(text)

@@ -31,7 +31,6 @@ BEFORE, WINDOW = 24, 64
 #: Bounds of the training sample: documents looked at, and findings and other candidates used.
 SAMPLE_DOCS, MAX_FINDINGS, MAX_OTHERS = 12_000, 4_000, 12_000
 MIN_RECALL = 0.95
-MIN_PROBABILITY = 0.9
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
@@ -142,10 +141,7 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate
 
 
 def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
-    """Platt scaling on candidates held out from training; the threshold is the highest that keeps MIN_RECALL of their findings.
-
-    A threshold below MIN_PROBABILITY is raised to it: beyond the base findings, precision comes first.
-    """
+    """Platt scaling on candidates held out from training; the threshold is the highest that keeps MIN_RECALL of their findings."""
     from .toxicity import Model
     from .toxicity import calibrate as platt
 
@@ -155,7 +151,7 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
     scale = platt(scale, list(raw), y)
     net.slope, net.shift = scale.slope, scale.shift
     found = np.sort(net.probability(x[y == 1]))
-    net.threshold = max(MIN_PROBABILITY, float(found[int((1 - MIN_RECALL) * len(found))])) if len(found) else 2.0
+    net.threshold = float(found[int((1 - MIN_RECALL) * len(found))]) if len(found) else 2.0
     return net
 
 

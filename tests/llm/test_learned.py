@@ -112,6 +112,14 @@ def test_network_learns_and_keeps_recall(make, secret_rows):
     assert net.probability(x)[0] > net.probability(y)[0]
 
 
+def test_threshold_keeps_recall_of_hard_findings():
+    rng = np.random.Generator(np.random.PCG64(3))
+    x = rng.integers(97, 123, (400, secrets.WINDOW)).astype(np.uint8)
+    y = rng.integers(0, 2, 400)
+    net = secrets.calibrate(secrets.train(x[:200], y[:200], epochs=1), x[200:], y[200:])
+    assert net.threshold < 0.9 and (net.probability(x[200:][y[200:] == 1]) >= net.threshold).mean() >= secrets.MIN_RECALL
+
+
 def test_redaction(make):
     docs = make([(1, "a password=abcdefgh1 b"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()} == {1: "a [assign] b", 2: None, 3: "clean"}

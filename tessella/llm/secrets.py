@@ -24,10 +24,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "model")
-#: A candidate is a run of at least so many characters of the alphabet of secrets.
-MIN_CANDIDATE = 16
-#: Characters of context before a candidate and of the window from its start.
-BEFORE, WINDOW = 24, 64
+#: A candidate is a run of at least so many characters of the alphabet of secrets; the base patterns take no shorter value.
+MIN_CANDIDATE = 8
+#: Bytes of a window, of those before its anchor, and of the context that is read after a candidate.
+WINDOW, BEFORE, AFTER = 64, 24, 24
+#: Anchors of a candidate's windows lie at most so far apart, so that each of its bytes follows an anchor in some window.
+STRIDE = 32
 #: Bounds of the training sample: documents looked at, and findings and other candidates used.
 SAMPLE_DOCS, MAX_FINDINGS, MAX_OTHERS = 12_000, 4_000, 12_000
 MIN_RECALL = 0.95
@@ -58,6 +60,15 @@ def candidates(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start[long], end[long]
 
 
+def anchors(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(candidate, anchor) of the windows that cover each candidate and its context: from its start on, the last one as far as AFTER reaches."""
+    last = np.maximum(start, end - (WINDOW - BEFORE - AFTER))
+    many = 1 + -(-(last - start) // STRIDE)
+    owner = np.repeat(np.arange(len(start)), many)
+    step = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+    return owner, np.minimum(start[owner] + STRIDE * step, last[owner])
+
+
 def windows(data: bytes, start: np.ndarray) -> np.ndarray:
     """The bytes around each start, zeros beyond the data, all bytes above ASCII as 127."""
     raw = np.frombuffer(bytes(BEFORE) + data + bytes(WINDOW), np.uint8)
@@ -66,7 +77,7 @@ def windows(data: bytes, start: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Network:
-    """Embedding, one convolution, maximum over the context and over the candidate, and a logistic output."""
+    """Embedding, one convolution, maxima over what is before a window's anchor, over the candidate and over what follows it, and a logistic output."""
 
     embed: np.ndarray
     conv: np.ndarray
@@ -79,26 +90,39 @@ class Network:
     @staticmethod
     def fresh(rng: np.random.Generator) -> Network:
         n = _WIDTH * _EMBED
-        return Network(rng.normal(0, 0.5, (128, _EMBED)), rng.normal(0, n**-0.5, (n, _FILTERS)), np.zeros(_FILTERS), np.append(rng.normal(0, 0.3, 2 * _FILTERS), 0.0))
+        return Network(rng.normal(0, 0.5, (128, _EMBED)), rng.normal(0, n**-0.5, (n, _FILTERS)), np.zeros(_FILTERS), np.append(rng.normal(0, 0.3, 3 * _FILTERS), 0.0))
 
     def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         e = self.embed.astype(np.float32)[x]
         spots = np.lib.stride_tricks.sliding_window_view(e, _WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - _WIDTH + 1, -1)
         return spots, np.maximum(spots @ self.conv.astype(np.float32) + self.bias.astype(np.float32), 0)
 
-    def pooled(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cut = BEFORE - _WIDTH + 1
-        at = np.concatenate([h[:, :cut].argmax(1), h[:, cut:].argmax(1) + cut], 1)
-        value = np.take_along_axis(np.concatenate([h, h], 2), at[:, None], 1)[:, 0]
-        return at, value
+    @staticmethod
+    def inside(x: np.ndarray) -> np.ndarray:
+        """Which spots of the convolution from the anchor on start within the candidate."""
+        return np.logical_and.accumulate(_TOKEN[x[:, BEFORE : WINDOW - _WIDTH + 1]], axis=1)
+
+    def pooled(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cut, own = BEFORE - _WIDTH + 1, self.inside(x)[:, :, None]
+        parts = [(h[:, :cut], 0), (np.concatenate([h[:, cut:BEFORE], h[:, BEFORE:] * own], 1), cut), (h[:, BEFORE:] * ~own, BEFORE)]
+        return np.concatenate([p.argmax(1) + k for p, k in parts], 1), np.concatenate([p.max(1) for p, _ in parts], 1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        """Without positions: only the maxima are needed."""
-        got = []
-        for k in range(0, len(x), 2048):
-            h = self.hidden(x[k : k + 2048])[1]
-            cut = BEFORE - _WIDTH + 1
-            got.append(np.concatenate([h[:, :cut].max(1), h[:, cut:].max(1)], 1) @ self.out[:-1] + self.out[-1])
+        """Without positions: only the maxima are needed. The convolution of a pair of bytes is looked up."""
+        taps = np.einsum("ce,wef->wcf", self.embed, self.conv.reshape(_WIDTH, _EMBED, _FILTERS)).astype(np.float32)
+        pairs = [(taps[w][:, None] + taps[w + 1][None]).reshape(-1, _FILTERS) for w in (0, 2)]
+        single = taps[4] + self.bias.astype(np.float32)
+        n, cut, got = WINDOW - _WIDTH + 1, BEFORE - _WIDTH + 1, []
+        for k in range(0, len(x), 512):
+            own = x[k : k + 512]
+            code = own[:, :-1].astype(np.int32) * 128 + own[:, 1:]
+            h = pairs[0].take(code[:, :n], 0)
+            h += pairs[1].take(code[:, 2 : 2 + n], 0)
+            h += single.take(own[:, 4 : 4 + n], 0)
+            np.maximum(h, 0, out=h)
+            inside = self.inside(own)[:, :, None]
+            most = np.concatenate([h[:, :cut].max(1), np.maximum(h[:, cut:BEFORE].max(1), (h[:, BEFORE:] * inside).max(1)), (h[:, BEFORE:] * ~inside).max(1)], 1)
+            got.append((most * self.out[:-1]).sum(1) + self.out[-1])
         return np.concatenate([*got, np.zeros(0)])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
@@ -118,14 +142,15 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate
         for k in range(0, len(x), batch):
             own = order[k : k + batch]
             spots, h = net.hidden(x[own])
-            at, value = net.pooled(h)
+            at, value = net.pooled(x[own], h)
             p = 1 / (1 + np.exp(-np.clip(value @ net.out[:-1] + net.out[-1], -40, 40)))
             g = (p - y[own]) * weight[own] / len(own)
             dv = g[:, None] * net.out[:-1] * (value > 0)
             dh = np.zeros_like(h, dtype=np.float64)
             rows = np.arange(len(own))[:, None]
-            for half in (0, 1):
-                np.add.at(dh, (rows, at[:, half * _FILTERS : (half + 1) * _FILTERS], np.arange(_FILTERS)), dv[:, half * _FILTERS : (half + 1) * _FILTERS])
+            for part in range(3):
+                one = slice(part * _FILTERS, (part + 1) * _FILTERS)
+                np.add.at(dh, (rows, at[:, one], np.arange(_FILTERS)), dv[:, one])
             flat = dh.reshape(-1, _FILTERS)
             ds = (flat @ net.conv.T).reshape(len(own), -1, _WIDTH, _EMBED)
             de = np.zeros((128, _EMBED))
@@ -140,17 +165,18 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
-    """Platt scaling on candidates held out from training; the threshold is the highest that keeps MIN_RECALL of their findings."""
+def calibrate(net: Network, x: np.ndarray, y: np.ndarray, first: np.ndarray | None = None) -> Network:
+    """Platt scaling of the greatest output over a candidate's windows (from first[k] on; one each by default), on candidates held out from training; the threshold is the highest that keeps MIN_RECALL of their findings."""
     from .toxicity import Model
     from .toxicity import calibrate as platt
 
-    raw = net.logits(x)
+    raw = net.logits(x) if first is None else np.maximum.reduceat(net.logits(x), first)
+    chance = lambda raw: 1 / (1 + np.exp(-np.clip(net.slope * raw + net.shift, -40, 40)))
     scale = Model(np.zeros(1, np.int64), np.ones(1), 0.0)
     scale.raw = lambda docs: np.array(docs)  # type: ignore[method-assign]
     scale = platt(scale, list(raw), y)
     net.slope, net.shift = scale.slope, scale.shift
-    found = np.sort(net.probability(x[y == 1]))
+    found = np.sort(chance(raw[y == 1]))
     net.threshold = float(found[int((1 - MIN_RECALL) * len(found))]) if len(found) else 2.0
     return net
 
@@ -159,19 +185,38 @@ def _chars(data: bytes, at: int) -> int:
     return len(data[:at].decode("utf-8"))
 
 
+def _values(text: str) -> list[tuple[int, int, int, int]]:
+    """(start, end) of each base finding and of its value, in bytes."""
+    found = [(m.span(), m.span(2)) for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if ":" in text or "=" in text else []
+    found += [((s, e), (s, e)) for s, e, kind in base_spans(text) if kind]
+    return [tuple(len(text[:k].encode("utf-8")) for k in (*span, *value)) for span, value in found]
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each candidate's window, and whether it overlaps a base finding."""
+    """Each candidate's windows, whether it overlaps the value of a base finding, and which of its windows do from their anchors on.
+
+    Candidates that only overlap the rest of a finding, such as the name before a value, are neither.
+    """
     for b in batches:
-        ids, found, labels = [], [], []
+        ids, found, labels, hits = [], [], [], []
         for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             data = (text or "").encode("utf-8")
             start, end = candidates(data)
-            spans = [(len((text or "")[:s].encode()), len((text or "")[:e].encode())) for s, e, _ in base_spans(text or "")]
-            for w, s, e in zip(windows(data, start), start.tolist(), end.tolist(), strict=True):
+            values = _values(text or "")
+            owner, at = anchors(start, end)
+            cut = np.searchsorted(owner, np.arange(len(start) + 1))
+            x = windows(data, at)
+            for k, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+                near = [v for v in values if s < v[1] and v[0] < e]
+                label = int(any(s < v[3] and v[2] < e for v in near))
+                if near and not label:
+                    continue
+                own = slice(cut[k], cut[k + 1])
                 ids.append(doc_id)
-                found.append(w.tobytes())
-                labels.append(int(any(s < y and x < e for x, y in spans)))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(labels, pa.int32())], ["doc_id", "window", "label"])
+                found.append(x[own].tobytes())
+                labels.append(label)
+                hits.append(bytes(any(a < min(v[3], e) and v[2] < a + WINDOW - BEFORE for v in near) for a in at[own].tolist()))
+        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(labels, pa.int32()), pa.array(hits, pa.binary())], ["doc_id", "window", "label", "hits"])
 
 
 def fit(docs: DataFrame) -> Network | None:
@@ -181,20 +226,28 @@ def fit(docs: DataFrame) -> Network | None:
     if not ids:
         return None
     chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long").distinct())
-    every = map_arrow(docs.join(chosen, "doc_id", "left_semi"), _labelled, "doc_id long, window binary, label int")
+    every = map_arrow(docs.join(chosen, "doc_id", "left_semi"), _labelled, "doc_id long, window binary, label int, hits binary")
     # the part that every window falls into is decided by its document
-    every = every.select("window", "label", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("held")).distinct().cache()
+    every = every.select("window", "label", "hits", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("held")).distinct().cache()
     rows = [r for label, most in ((1, MAX_FINDINGS), (0, MAX_OTHERS)) for r in every.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window", "held").limit(most).collect()]
     every.unpersist()
-    x = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WINDOW)
     y, held = np.array([r["label"] for r in rows], int), np.array([r["held"] for r in rows], bool)
     if min((y[~held] == 1).sum(), (y[~held] == 0).sum(), (y[held] == 1).sum()) < 5:
         return None
-    return calibrate(train(x[~held], y[~held]), x[held], y[held])
+    return learned(rows, y, held)
+
+
+def learned(rows: list, y: np.ndarray, held: np.ndarray) -> Network:
+    """A network trained on windows of the candidates not held out, and calibrated on whole candidates held out."""
+    x = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WINDOW)
+    many = np.array([len(r["hits"]) for r in rows])
+    hits, label, out = np.frombuffer(b"".join(r["hits"] for r in rows), np.uint8), np.repeat(y, many), np.repeat(held, many)
+    used = ~out & (hits == label)  # windows of a finding that don't see its value say nothing
+    return calibrate(train(x[used], label[used]), x[out], y[held], np.cumsum(many[held]) - many[held])
 
 
 def find_all(texts: list[str | None], net: Network | None) -> list[list[tuple[int, int, int]]]:
-    """All spans of each text: the base findings, and candidates apart from them that the network takes for secrets."""
+    """All spans of each text: the base findings, and candidates apart from them that the network takes for secrets by any of their windows."""
     out: list[list[tuple[int, int, int]]] = [base_spans(t or "") for t in texts]
     if net is None:
         return out
@@ -202,7 +255,9 @@ def find_all(texts: list[str | None], net: Network | None) -> list[list[tuple[in
         start, end = candidates(data)
         if not len(start):
             continue
-        taken = np.flatnonzero(net.probability(windows(data, start)) >= net.threshold)
+        owner, at = anchors(start, end)
+        chance = np.concatenate([net.probability(windows(data, at[k : k + 4096])) for k in range(0, len(at), 4096)])
+        taken = np.flatnonzero(np.maximum.reduceat(chance, np.searchsorted(owner, np.arange(len(start)))) >= net.threshold)
         doc = np.searchsorted(offsets, start[taken], "right") - 1
         for k, d in zip(taken.tolist(), doc.tolist(), strict=True):
             own = data[offsets[d] : offsets[d + 1]]

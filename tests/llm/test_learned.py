@@ -120,6 +120,30 @@ def test_threshold_keeps_recall_of_hard_findings():
     assert net.threshold < 0.9 and (net.probability(x[200:][y[200:] == 1]) >= net.threshold).mean() >= secrets.MIN_RECALL
 
 
+def test_windows_read_whole_candidates():
+    data = b"x" * 30 + b" " + b"a" * 100 + b" " + b"z" * 23
+    start, end = (a[1:2] for a in secrets.candidates(data))
+    owner, at = secrets.anchors(start, end)
+    seen = {p for a in at.tolist() for p in range(a - secrets.BEFORE, a + secrets.WINDOW - secrets.BEFORE)}
+    assert set(owner) == {0} and seen >= set(range(start[0] - 24, end[0] + 24))
+    assert secrets.candidates(b"a hunter2x b")[0].tolist() == [2]
+
+
+def test_secret_at_the_end_of_a_long_candidate(make):
+    rng = random.Random(2)
+
+    def path(tail):
+        return "see " + "".join(rng.choice(["some/", "long/", "path/", "goes/", "deep/"]) for _ in range(20)) + tail + " for"
+
+    def code(n):
+        return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+    net = secrets.fit(make([(i, path("words" if i % 2 else code(32))) for i in range(600)]).select("doc_id", "text"))
+    found = secrets.find_all([path(code(28)) for _ in range(50)], net)
+    plain = secrets.find_all([path("words") for _ in range(50)], net)
+    assert sum(len(f) for f in found) >= 45 and sum(len(f) for f in plain) <= 5
+
+
 def test_redaction(make):
     docs = make([(1, "a password=abcdefgh1 b"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()} == {1: "a [assign] b", 2: None, 3: "clean"}

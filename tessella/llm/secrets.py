@@ -1,7 +1,8 @@
 """Secret scan: exact base patterns, and a character convolutional network in numpy over every candidate and its context.
 
-The network is trained on labelled findings: candidates of sampled documents, labelled by whether they belong to a base finding.
-Its scores are calibrated on one part of the sample that it was not trained on, and the threshold there keeps the wanted recall.
+The network is trained on labelled findings: candidates of all documents that belong to a base finding, and other candidates of
+sampled documents. Its scores are calibrated on one part of the sample that it was not trained on, or by cross-fitting where that
+part would be too small, and the threshold there keeps the wanted recall.
 """
 
 from __future__ import annotations
@@ -30,8 +31,12 @@ MIN_CANDIDATE = 8
 WINDOW, BEFORE, AFTER = 64, 24, 24
 #: Anchors of a candidate's windows lie at most so far apart, so that each of its bytes follows an anchor in some window.
 STRIDE = 32
-#: Bounds of the training sample: documents looked at, and findings and other candidates used.
+#: Bounds of the training sample: documents looked at for other candidates, and findings and other candidates used.
 SAMPLE_DOCS, MAX_FINDINGS, MAX_OTHERS = 12_000, 4_000, 12_000
+#: Windows of a candidate in the training sample; scoring reads them all.
+MAX_WINDOWS = 64
+#: Parts of the sample, one of which is held out; each is, in turn, if there are fewer than LEAST of a class on either side.
+PARTS, LEAST = 4, 5
 MIN_RECALL = 0.95
 
 _TOKEN = np.zeros(256, bool)
@@ -126,7 +131,10 @@ class Network:
         return np.concatenate([*got, np.zeros(0)])
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.logits(x) + self.shift, -40, 40)))
+        return self.chance(self.logits(x))
+
+    def chance(self, raw: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
@@ -165,18 +173,21 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate
     return net
 
 
-def calibrate(net: Network, x: np.ndarray, y: np.ndarray, first: np.ndarray | None = None) -> Network:
-    """Platt scaling of the greatest output over a candidate's windows (from first[k] on; one each by default), on candidates held out from training; the threshold is the highest that keeps MIN_RECALL of their findings."""
+def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
+    """scaled() on candidates of one window each that were held out from training."""
+    return scaled(net, net.logits(x), y)
+
+
+def scaled(net: Network, raw: np.ndarray, y: np.ndarray) -> Network:
+    """Platt scaling of held-out candidates' outputs; the threshold is the highest that keeps MIN_RECALL of their findings."""
     from .toxicity import Model
     from .toxicity import calibrate as platt
 
-    raw = net.logits(x) if first is None else np.maximum.reduceat(net.logits(x), first)
-    chance = lambda raw: 1 / (1 + np.exp(-np.clip(net.slope * raw + net.shift, -40, 40)))
     scale = Model(np.zeros(1, np.int64), np.ones(1), 0.0)
     scale.raw = lambda docs: np.array(docs)  # type: ignore[method-assign]
     scale = platt(scale, list(raw), y)
     net.slope, net.shift = scale.slope, scale.shift
-    found = np.sort(chance(raw[y == 1]))
+    found = np.sort(net.chance(raw[y == 1]))
     net.threshold = float(found[int((1 - MIN_RECALL) * len(found))]) if len(found) else 2.0
     return net
 
@@ -195,55 +206,105 @@ def _values(text: str) -> list[tuple[int, int, int, int]]:
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each candidate's windows, whether it overlaps the value of a base finding, and which of its windows do from their anchors on.
 
-    Candidates that only overlap the rest of a finding, such as the name before a value, are neither.
+    Candidates that only overlap the rest of a finding, such as the name before a value, are neither. Others are only those of documents
+    asked for, and of each task the MAX_OTHERS with the smallest hashes.
     """
+    others: dict[bytes, tuple] = {}
+
+    def least() -> list[tuple]:
+        return sorted(others.values())[:MAX_OTHERS]
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+        return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["rank", "doc", "window", "label", "hits"])
+
     for b in batches:
-        ids, found, labels, hits = [], [], [], []
-        for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        rows = []
+        for doc, text, asked in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            values = _values(text or "")
+            if not values and not asked:
+                continue
             data = (text or "").encode("utf-8")
             start, end = candidates(data)
-            values = _values(text or "")
-            owner, at = anchors(start, end)
-            cut = np.searchsorted(owner, np.arange(len(start) + 1))
-            x = windows(data, at)
-            for k, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 near = [v for v in values if s < v[1] and v[0] < e]
                 label = int(any(s < v[3] and v[2] < e for v in near))
-                if near and not label:
+                if (near or not asked) and not label:
                     continue
-                own = slice(cut[k], cut[k + 1])
-                ids.append(doc_id)
-                found.append(x[own].tobytes())
-                labels.append(label)
-                hits.append(bytes(any(a < min(v[3], e) and v[2] < a + WINDOW - BEFORE for v in near) for a in at[own].tolist()))
-        yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(found, pa.binary()), pa.array(labels, pa.int32()), pa.array(hits, pa.binary())], ["doc_id", "window", "label", "hits"])
+                at = anchors(np.array([s]), np.array([e]))[1]
+                hits = np.array([any(a < min(v[3], e) and v[2] < a + WINDOW - BEFORE for v in near) for a in at.tolist()], np.uint8)
+                if len(at) > MAX_WINDOWS:
+                    keep = np.sort(np.concatenate([np.flatnonzero(hits), np.flatnonzero(hits == 0)])[:MAX_WINDOWS])
+                    at, hits = at[keep], hits[keep]
+                x = windows(data, at).tobytes()
+                row = (int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), doc, x, label, hits.tobytes())
+                if label:
+                    rows.append(row)
+                else:
+                    others[x] = min(row, others.get(x, row))
+            if len(others) > 2 * MAX_OTHERS:
+                others = {r[2]: r for r in least()}
+        yield sent(rows)
+    yield sent(least())
 
 
 def fit(docs: DataFrame) -> Network | None:
-    """Train on a bounded sample (the documents with the smallest hashes of doc_id). None if it holds no findings or nothing else."""
-    spark = docs.sparkSession
-    ids = [r[0] for r in docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
-    if not ids:
+    """Train on a bounded sample: findings of all documents by hash, and other candidates of the documents with the smallest hashes.
+
+    None if there are fewer than two different findings or nothing else to learn from.
+    """
+    docs = docs.select("text", F.xxhash64("doc_id", "text").alias("doc"))
+    sampled = docs.select("doc").distinct().orderBy("doc").limit(SAMPLE_DOCS).collect()
+    if not sampled:
         return None
-    chosen = F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long").distinct())
-    every = map_arrow(docs.join(chosen, "doc_id", "left_semi"), _labelled, "doc_id long, window binary, label int, hits binary")
-    # the part that every window falls into is decided by its document
-    every = every.select("window", "label", "hits", (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(4)) == 0).alias("held")).distinct().cache()
-    rows = [r for label, most in ((1, MAX_FINDINGS), (0, MAX_OTHERS)) for r in every.where(F.col("label") == label).orderBy(F.xxhash64("window"), "window", "held").limit(most).collect()]
+    every = map_arrow(docs.select("doc", "text", F.col("doc") <= sampled[-1][0]), _labelled, "rank long, doc long, window binary, label int, hits binary")
+    # the part that every window falls into is decided by one of its documents
+    every = every.groupBy("rank", "window", "label", "hits").agg(F.min("doc").alias("doc")).cache()
+    rows = [r for label, most in ((1, MAX_FINDINGS), (0, MAX_OTHERS)) for r in every.where(F.col("label") == label).orderBy("rank", "window").limit(most).collect()]
     every.unpersist()
-    y, held = np.array([r["label"] for r in rows], int), np.array([r["held"] for r in rows], bool)
-    if min((y[~held] == 1).sum(), (y[~held] == 0).sum(), (y[held] == 1).sum()) < 5:
+    y, doc = np.array([r["label"] for r in rows], int), np.array([r["doc"] for r in rows], np.int64)
+    if (y == 1).sum() < 2 or not (y == 0).any():
         return None
-    return learned(rows, y, held)
+    held = doc % PARTS == 0
+    if min((y[~held] == 1).sum(), (y[~held] == 0).sum(), (y[held] == 1).sum()) >= LEAST:
+        return learned(rows, y, held)
+    return crossed(rows, y, doc)
+
+
+def _fold(y: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Parts by document, with the findings dealt out evenly: of one document only, they are dealt out one by one."""
+    ids, at = np.unique(doc[y == 1], return_inverse=True)
+    fold = np.abs(doc % PARTS)
+    fold[y == 1] = (at if len(ids) > 1 else np.arange((y == 1).sum())) % PARTS
+    return fold
+
+
+def _arrays(rows: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows, their labels, each window's row, and which windows to train on: those of a finding that don't see its value say nothing."""
+    x = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WINDOW)
+    owner = np.repeat(np.arange(len(rows)), [len(r["hits"]) for r in rows])
+    hits = np.frombuffer(b"".join(r["hits"] for r in rows), np.uint8)
+    return x, y[owner], owner, hits == y[owner]
 
 
 def learned(rows: list, y: np.ndarray, held: np.ndarray) -> Network:
     """A network trained on windows of the candidates not held out, and calibrated on whole candidates held out."""
-    x = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WINDOW)
-    many = np.array([len(r["hits"]) for r in rows])
-    hits, label, out = np.frombuffer(b"".join(r["hits"] for r in rows), np.uint8), np.repeat(y, many), np.repeat(held, many)
-    used = ~out & (hits == label)  # windows of a finding that don't see its value say nothing
-    return calibrate(train(x[used], label[used]), x[out], y[held], np.cumsum(many[held]) - many[held])
+    x, label, owner, used = _arrays(rows, y)
+    out = held[owner]
+    first = np.flatnonzero(np.diff(owner[out], prepend=-1))
+    net = train(x[used & ~out], label[used & ~out])
+    return scaled(net, np.maximum.reduceat(net.logits(x[out]), first), y[held])
+
+
+def crossed(rows: list, y: np.ndarray, doc: np.ndarray) -> Network:
+    """A network trained on all candidates, and calibrated on what networks that were trained on the other parts say of each part."""
+    x, label, owner, used = _arrays(rows, y)
+    fold, raw = _fold(y, doc)[owner], np.zeros(len(x))
+    for part in np.unique(fold):
+        net = train(x[used & (fold != part)], label[used & (fold != part)])
+        raw[fold == part] = net.logits(x[fold == part])
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    return scaled(train(x[used], label[used]), np.maximum.reduceat(raw, first), y)
 
 
 def find_all(texts: list[str | None], net: Network | None) -> list[list[tuple[int, int, int]]]:
@@ -272,7 +333,9 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans of every row.
+    """doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans, has_network of every row.
+
+    has_network is false, in every row, if the table has too few findings to train a network: n_model is 0 then for want of one.
 
     Null and empty texts have no findings. Spans are those of the matches, in code points with exclusive ends. Kinds may overlap each other;
     spans that the network adds overlap no base finding. Repeated rows give repeated results, an empty table gives none, and columns
@@ -286,9 +349,9 @@ def scan_documents(docs: DataFrame) -> DataFrame:
             found = find_all(b.column(1).to_pylist(), net)
             counts = [pa.array([sum(s[2] == k for s in spans) for spans in found], pa.int64()) for k in range(4)]
             digest = [hashlib.sha256(_said([s for s in spans if s[2] < 3]).encode()).hexdigest() for spans in found]
-            yield pa.record_batch([b.column(0), *counts, pa.array(digest, pa.string()), pa.array([_said(s) for s in found], pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans"])
+            yield pa.record_batch([b.column(0), *counts, pa.array(digest, pa.string()), pa.array([_said(s) for s in found], pa.string()), pa.array([net is not None] * b.num_rows)], ["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans", "has_network"])
 
-    return map_arrow(docs, run, "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string")
+    return map_arrow(docs, run, "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string, has_network boolean")
 
 
 def redact_documents(docs: DataFrame) -> DataFrame:

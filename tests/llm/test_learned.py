@@ -144,6 +144,16 @@ def test_secret_at_the_end_of_a_long_candidate(make):
     assert sum(len(f) for f in found) >= 45 and sum(len(f) for f in plain) <= 5
 
 
+@pytest.mark.parametrize("findings", [2, 6])
+def test_few_findings_still_train_a_network(make, monkeypatch, findings):
+    monkeypatch.setattr(secrets, "SAMPLE_DOCS", 50)  # most findings are outside of the sampled documents
+    rng = random.Random(5)
+    rows = [(i, " ".join([*words(rng, 20), "wonderfullylongword", *(["password=" + "".join(rng.choices("0123456789abcdef", k=20))] if i < findings else [])])) for i in range(400)]
+    got = secrets.scan_documents(make([*rows, (None, "password=abcdef0123456789"), (None, None)])).collect()
+    assert len(got) == 402 and all(r.has_network for r in got) and sum(r.n_assign for r in got) == findings + 1
+    assert not any(r.has_network for r in secrets.scan_documents(make(rows[findings:])).collect())
+
+
 def test_redaction(make):
     docs = make([(1, "a password=abcdefgh1 b"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()} == {1: "a [assign] b", 2: None, 3: "clean"}

@@ -74,10 +74,14 @@ def anchors(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return owner, np.minimum(start[owner] + STRIDE * step, last[owner])
 
 
-def windows(data: bytes, start: np.ndarray) -> np.ndarray:
-    """The bytes around each start, zeros beyond the data, all bytes above ASCII as 127."""
+def windows(data: bytes, start: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+    """The bytes around each start, zeros beyond the data and outside of low to high (if given), all bytes above ASCII as 127."""
     raw = np.frombuffer(bytes(BEFORE) + data + bytes(WINDOW), np.uint8)
-    return np.minimum(raw[start[:, None] + np.arange(WINDOW)], 127)
+    at = start[:, None] + np.arange(WINDOW)
+    out = np.minimum(raw[at], 127)
+    if low is not None and high is not None:
+        out[(at < low[:, None] + BEFORE) | (at >= high[:, None] + BEFORE)] = 0
+    return out
 
 
 @dataclass
@@ -317,7 +321,9 @@ def find_all(texts: list[str | None], net: Network | None) -> list[list[tuple[in
         if not len(start):
             continue
         owner, at = anchors(start, end)
-        chance = np.concatenate([net.probability(windows(data, at[k : k + 4096])) for k in range(0, len(at), 4096)])
+        text = np.searchsorted(offsets, at, "right") - 1
+        low, high = offsets[text], offsets[text + 1] - 1  # without the line feed between texts
+        chance = np.concatenate([net.probability(windows(data, *(a[k : k + 4096] for a in (at, low, high)))) for k in range(0, len(at), 4096)])
         taken = np.flatnonzero(np.maximum.reduceat(chance, np.searchsorted(owner, np.arange(len(start)))) >= net.threshold)
         doc = np.searchsorted(offsets, start[taken], "right") - 1
         for k, d in zip(taken.tolist(), doc.tolist(), strict=True):

@@ -154,6 +154,20 @@ def test_few_findings_still_train_a_network(make, monkeypatch, findings):
     assert not any(r.has_network for r in secrets.scan_documents(make(rows[findings:])).collect())
 
 
+def test_neighbouring_texts_are_no_context():
+    seen = []
+
+    class Spy(secrets.Network):
+        def probability(self, x):
+            seen.append(x)
+            return np.zeros(len(x))
+
+    texts = ["a password is", "wonderfullylongword", "token: or so"]
+    secrets.find_all(texts, Spy(None, None, None, None))
+    want = [secrets.windows(t.encode(), secrets.anchors(*secrets.candidates(t.encode()))[1]) for t in texts]
+    assert (np.concatenate(seen) == np.concatenate(want)).all()
+
+
 def test_redaction(make):
     docs = make([(1, "a password=abcdefgh1 b"), (2, None), (3, "clean")])
     assert {r.doc_id: r.text for r in secrets.redact_documents(docs).collect()} == {1: "a [assign] b", 2: None, 3: "clean"}

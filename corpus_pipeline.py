@@ -19,11 +19,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that with the smallest doc_id. Rows that repeat its doc_id go with the group."""
-    gone = written(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct(), "near-gone")
-    # a list of ids is sent everywhere up to a size, and texts are shuffled beyond
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.select(*DOCUMENT_COLUMNS).join(gone, "doc_id", "left_anti").select(*DOCUMENT_COLUMNS)
+    """One row of each group of near-duplicates: one with the smallest doc_id, null being the greatest.
+
+    Rows are told apart by numbers of their own: rows that repeat a doc_id go or stay by their own texts, and of equal rows one stays.
+    Null and empty texts are near to nothing and stay.
+    """
+    docs = written(docs.select(*DOCUMENT_COLUMNS, F.monotonically_increasing_id().alias("row")), "near-rows")
+    found = near_duplicates(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    found = written(found, "near-found")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    best = found.join(docs.select("row", "doc_id"), "row").groupBy("component_id").agg(F.min(rank)["row"].alias("first"), F.count("*").alias("n"))
+    best = _sent(written(best.where("n > 1").select("component_id", "first"), "near-best"))
+    # a list of rows is sent everywhere up to a size, and texts are shuffled beyond
+    gone = _sent(written(found.join(best, "component_id").where("row != first").select("row"), "near-gone"))
+    return docs.join(gone, "row", "left_anti").select(*DOCUMENT_COLUMNS)
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

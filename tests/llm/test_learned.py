@@ -273,6 +273,15 @@ def test_item_blocks(spark, make, monkeypatch):
     assert [(r.doc_id, r.item_id) for r in decontaminate.leaked_pairs(docs, items).collect()] == [(1, 2)]
 
 
+def test_near_dedup_decides_by_row(spark, make):
+    import corpus_pipeline
+
+    same, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = make([(2, same), (2, same), (None, same), (7, same), (7, other), (8, None), (None, "")])
+    left = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted([("2", same), ("7", other), ("8", "None"), ("None", "")])
+
+
 def test_pipeline(spark, tmp_path, make, toxic_rows):
     import corpus_pipeline
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one is made only where none is configured (tests)."""
+    """The folder that driver and executors share; a private one is made only in local mode where none is configured (tests)."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = sc._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-ckpt-"))
         current = sc._jsc.sc().getCheckpointDir()
     return current.get()
@@ -55,18 +57,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most so many rows, so that long texts stay within an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch, whatever the number of its rows: a longer text comes alone. One value for all stages, as it is read when a plan runs.
+BATCH_BYTES = 4 << 20
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = 1000) -> DataFrame:
-    small_batches(df.sparkSession, rows)
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_BYTES."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
-#: Edges (16 bytes each) that one task may hold.
-FINISH_EDGES = 500_000
+#: Edges (16 bytes each) that one task contracts.
+TASK_EDGES = 100_000
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,21 +92,21 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)], ["a", "b"])
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, name: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(vertices: DataFrame, edges: DataFrame, name: str) -> DataFrame:
     """(id, component): component is the smallest id reachable over edges (a, b).
 
-    A graph of at most FINISH_EDGES edges, which is counted first, is finished by union-find in one task. A larger one goes through
-    large-star / small-star label contraction (Kiveris et al.): both steps are a groupBy-min and a join, so a hub
-    is pre-aggregated before the shuffle, and the number of rounds is logarithmic in the longest path. State is written
-    to the shared folder after each round. Vertices without an edge are their own component. Null ids link with nothing.
+    In each round, edges are dealt out to tasks of TASK_EDGES by a hash, and each task contracts its own to stars by union-find. While there is
+    more than one task, a large-star and a small-star step (Kiveris et al.) bring the stars together: both are a groupBy-min and a join, so a hub
+    is pre-aggregated before the shuffle, and the number of rounds is logarithmic in the longest path. Rounds end when one task has
+    held all edges, or at the fixed point. State is written to the shared folder after each round. Vertices without an edge are their own
+    component. Null ids link with nothing.
     """
-    spark = edges.sparkSession
     held: list[str] = []
 
     def keep(df: DataFrame) -> DataFrame:
         out = written(df, name)
         for path in held:  # the round before is no longer read
-            drop_path(spark, path)
+            drop_path(edges.sparkSession, path)
         held[:] = [out._tessella_path]
         return out
 
@@ -118,15 +124,16 @@ def connected_components(vertices: DataFrame, edges: DataFrame, name: str, max_r
 
     e = keep(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
-    for _ in range(max_rounds):
+    while True:
         # a forest of stars is the fixed point: no vertex is both a child and a parent, and each child has one parent
-        if last is None and e.count() <= FINISH_EDGES:
-            e = keep(map_arrow(e.repartition(1), _stars, "a long, b long", 10_000))
-            break
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (state["n"], state["s"]) == last or not state["n"]:
+        if not state["n"] or (state["n"], state["s"]) == last:
             break
         last = (state["n"], state["s"])
-        e = keep(fold(e))
+        tasks = -(-state["n"] // TASK_EDGES)
+        stars = map_arrow(e.repartition(tasks, F.xxhash64("a", "b")) if tasks > 1 else e.repartition(1), _stars, "a long, b long")
+        e = keep(fold(stars) if tasks > 1 else stars)
+        if tasks == 1:
+            break
     labels = e.groupBy("a").agg(F.min("b").alias("component"))
     return vertices.join(labels, vertices["id"] == labels["a"], "left").select(vertices["id"], F.coalesce("component", "id").alias("component"))

@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = index.join(shared, "key").join(classes.select("id", "n_shingles", "sig"), "id")
     dealt = _blocks(members, "key", "size").select("key", "i", "j", "id", "n_shingles", "sig")
     dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
-    close = written(map_arrow(dealt, _close_edges, "a long, b long", 10_000).distinct(), "near-close")
+    close = written(map_arrow(dealt, _close_edges, "a long, b long").distinct(), "near-close")
     blob = connected_components(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), close, "near-blob")
     blob = written(blob.withColumnRenamed("component", "blob"), "near-blobs")
     sizes = blob.groupBy("blob").agg(F.count("*").alias("size"))
@@ -248,11 +248,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     wanted = blob.select(F.col("id").alias("doc_id"))
     if blob.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
-    sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _packed_sets, "id long, set binary", 500)
+    sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _packed_sets, "id long, set binary")
     # rows that repeat a doc_id would meet themselves
     sets = sets.join(inside, "id").dropDuplicates(["id", "set"])
     dealt = _blocks(sets, "blob", "size").select("blob", "i", "j", "id", "set").repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "id")
-    links = written(map_arrow(dealt, _exact_edges, "a long, b long", 200).where("a != b").distinct(), "near-links")
+    links = written(map_arrow(dealt, _exact_edges, "a long, b long").where("a != b").distinct(), "near-links")
     joined = connected_components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links, "near-component")
     # only classes that have copies or links change anything
     told = classes.select("digest", "id", "copies").join(joined, "id", "left").where("copies > 1 or component is not null")

@@ -30,7 +30,7 @@ MAX_PIECES = 4096
 #: Bytes of pieces that one collection aims at.
 COLLECTION = 6_000_000
 #: Longer texts are searched in overlapping segments.
-SEGMENT = 1 << 23
+SEGMENT = 1 << 20
 #: Rows of a look-up that are broadcast (about 60 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -274,14 +274,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     open_ = sids.join(groups.select("key", "n"), "key").select("key", "sid", "n", "first.*")
     wanted = open_.groupBy("tid").agg(F.collect_list(F.struct("key", "sid", "start", "strings", "away")).alias("wanted"))
     once = _joined_by(long, written(wanted, "sa-wanted"), "inner").select("tid", "text", "wanted")
-    cut = map_arrow(once, _cut, "key long, sid long, piece binary, away int", 200).dropDuplicates(["key", "sid"])
+    cut = map_arrow(once, _cut, "key long, sid long, piece binary, away int").dropDuplicates(["key", "sid"])
     cut = written(cut.join(groups.select("key", "n"), "key"), "sa-cut")
     size = cut.where(F.col("n") <= MAX_PIECES).agg(F.sum(F.length("piece"))).first()[0] or 0
     parts = max(8, -(-size // COLLECTION))
     small_batches(docs.sparkSession)
     held = cut.where(F.col("n") <= MAX_PIECES).select("key", "sid", "piece", "away").repartition(parts, "key").sortWithinPartitions("key", "sid")
     built = map_arrow(held, _built, "key long, sid long, first int, last int")
-    alone = map_arrow(cut.where(F.col("n") > MAX_PIECES).select("key", "sid", "piece", "away"), _single, "key long, sid long, first int, digest binary", 200)
+    alone = map_arrow(cut.where(F.col("n") > MAX_PIECES).select("key", "sid", "piece", "away"), _single, "key long, sid long, first int, digest binary")
     twice = alone.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
     alone = alone.join(twice, "digest", "left_semi").select("key", "sid", "first", (F.col("first") + 1).alias("last"))
     found = written(built.unionByName(alone), "sa-found")
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     told = spans.join(copied, "tid", "left_anti").withColumn("copied", F.lit(False)).unionByName(copied.withColumn("spans", F.lit(None).cast("array<struct<first:bigint,last:bigint>>")))
     keyed = docs.withColumn("tid", F.unhex(F.md5("text")))
     small_batches(docs.sparkSession)
-    return map_arrow(_joined_by(keyed, written(told, "sa-spans"), "left").select("doc_id", "text", "copied", "spans"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", 500)
+    return map_arrow(_joined_by(keyed, written(told, "sa-spans"), "left").select("doc_id", "text", "copied", "spans"), _removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,9 @@ import numpy as np
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20260101)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at once; longer data is cut between words. Tables of powers are kept up to this length.
+PART = 1 << 20
+_powers: list[np.ndarray] = []
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -29,14 +31,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n + 1:
-        size = max(n + 1, 1 << 20)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _table(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, from 0 to n at least."""
+    if n > PART:
+        return [_table(_BASE, n + 1), _table(_INVERSE, n + 1)]
+    if not _powers:
+        _powers[:] = [_table(_BASE, PART + 1), _table(_INVERSE, PART + 1)]
+    return _powers
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -45,21 +52,39 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def _cuts(inside: np.ndarray) -> list[int]:
+    """Where to cut data into parts of about PART bytes, never inside a word."""
+    cuts = [0]
+    while len(inside) - cuts[-1] > PART:
+        at = cuts[-1] + PART
+        while at < len(inside) and inside[at : at + PART].all():
+            at += PART
+        cuts.append(min(len(inside), at + int(inside[at : at + PART].argmin()) if at < len(inside) else at))
+    return cuts if len(cuts) > 1 and cuts[-1] == len(inside) else [*cuts, len(inside)]
+
+
 def word_hashes(data: bytes, letters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of each word of data, ASCII lower-cased.
 
     Words are runs of bytes that are not white space, or runs of the given letters. Equal words have equal
-    64-bit hashes in every process.
+    64-bit hashes in every process. Memory beyond the data and the result is that of a part, or of the longest word.
     """
     raw = np.frombuffer(data, np.uint8)
-    start, end = runs(letters[raw] if letters is not None else ~IS_SPACE[raw])
+    inside = letters[raw] if letters is not None else ~IS_SPACE[raw]
+    cuts = _cuts(inside)
+    parts = [_hashed(raw[a:b], inside[a:b], a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return parts[0] if len(parts) == 1 else tuple(np.concatenate(x) for x in zip(*parts, strict=True))  # type: ignore[return-value]
+
+
+def _hashed(raw: np.ndarray, inside: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    start, end = runs(inside)
     if not len(start):
         return np.zeros(0, np.uint64), start, end
     up, down = _power(len(raw))
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
     np.cumsum(_BYTES[_LOWER[raw]] * up[: len(raw)], dtype=np.uint64, out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start + at, end + at
 
 
 def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
@@ -78,14 +103,14 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
     return mix(out)
 
 
-def blobs(texts: list[str | None], most: int = 1 << 22) -> list[tuple[int, int, bytes, np.ndarray]]:
+def blobs(texts: list[str | None], most: int = PART) -> list[tuple[int, int, bytes, np.ndarray]]:
     """Texts joined to byte strings of about most bytes: (first, last + 1, bytes, offset of each text and the end).
 
     A line feed stands between texts, so no word crosses from one to the next.
     """
     out, first, parts, size = [], 0, [], 0
     for i, t in enumerate([*texts, None]):
-        if i == len(texts) or size > most:
+        if i == len(texts) or size >= most:
             if parts:
                 offsets = np.concatenate(([0], np.cumsum([len(p) + 1 for p in parts])))
                 out.append((first, first + len(parts), b"\n".join(parts) + b"\n", offsets))

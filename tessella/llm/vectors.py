@@ -179,7 +179,7 @@ def vector_links(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    checked = written(map_arrow(rows, _checked, "vec_id long, data binary", 5000), "vec-rows")
+    checked = written(map_arrow(rows, _checked, "vec_id long, data binary"), "vec-rows")
     classes = written(checked.where("data is not null and vec_id is not null").groupBy("data").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vec-classes")
     pivots = [r[0] for r in classes.select("data").orderBy(F.xxhash64("data"), "data").limit(PIVOTS).collect()]
     if not pivots:
@@ -200,7 +200,7 @@ def vector_links(rows: DataFrame) -> DataFrame:
                 away[usual] = np.sqrt(np.maximum(0.0, 2 - 2 * dots.max(1)))
             yield pa.record_batch([b.column("id"), b.column("copies"), b.column("data"), pa.array(cell.astype(np.int32)), pa.array(away)], ["id", "copies", "data", "cell", "away"])
 
-    cells = written(map_arrow(classes.select("id", "copies", "data"), celled, "id long, copies long, data binary, cell int, away double", 5000), "vec-cells")
+    cells = written(map_arrow(classes.select("id", "copies", "data"), celled, "id long, copies long, data binary, cell int, away double"), "vec-cells")
     stats = {r["cell"]: (r["n"], r["r"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
     # cells in the order of a tree over the pivots, packed into blocks; a large cell becomes several blocks of its own
     tree = Tree(centres)
@@ -230,7 +230,7 @@ def vector_links(rows: DataFrame) -> DataFrame:
     pairs = spark.createDataFrame([(k, int(min(k, o)), int(max(k, o))) for k in range(len(blocks)) for o in np.flatnonzero(meet[k])], "block int, i int, j int")
     placed = spark.createDataFrame(split, "cell int, start int, parts int")
     dealt = cells.join(F.broadcast(placed), "cell").withColumn("block", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    small_batches(spark, 10_000)
+    small_batches(spark)
     met = dealt.select("id", "copies", "data", "block").join(pairs, "block").groupBy("i", "j").applyInPandas(_compare, "a long, b long, n long")
     met = written(met, "vec-met")
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

@@ -98,7 +98,7 @@ def write_archive(pages: DataFrame, path: str, min_payload: int = 0) -> None:
             F.when(F.col("revisit"), F.col("leader")).alias("refers_to"),
         )
     )
-    map_arrow(typed, _headed, "page_id long, sha256 binary, record_type string, header binary", 5000).write.option("compression", "zstd").parquet(f"{path}/headers")
+    map_arrow(typed, _headed, "page_id long, sha256 binary, record_type string, header binary").write.option("compression", "zstd").parquet(f"{path}/headers")
 
 
 _FIELD = re.compile(rb"^([A-Za-z-]+): (.*)$", re.M)

@@ -1,9 +1,11 @@
 """Toxicity, secrets, language models, decontamination, the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -174,44 +176,46 @@ def test_redaction(make):
     assert secrets.redacted("0123456789", [(1, 4, 0), (2, 6, 2), (8, 9, 1)]) == "0[assign]67[access]9"
 
 
-def test_language_models(spark, make):
+def losses_truth(rows, own):
+    """Losses of every row by plain counts, each row left out of the model that it belongs to."""
+    tokens = [re.findall(r"[a-zäé]+", (t or "").lower()) for _, t in rows]
+    size, out = len({w for t in tokens for w in t}), []
+    for k, t in enumerate(tokens):
+        said = []
+        for target in (True, False):
+            others = [x for j, x in enumerate(tokens) if (rows[j][0] in own) == target and j != k]
+            pairs = Counter(p for x in others for p in zip(["", *x], x, strict=False))
+            histories = Counter(p for x in others for p in ["", *x][: len(x)])
+            words = Counter(w for x in others for w in x)
+            loss = [-math.log((pairs[a, b] + 10 * (words[b] + 1) / (words.total() + size)) / (histories[a] + 10)) for a, b in zip(["", *t], t, strict=False)]
+            said.append(sum(loss) / max(1, len(loss)))
+        out.append((rows[k][0], len(t), *said))
+    return out
+
+
+@pytest.mark.parametrize("chunk", [2_000_000, 40])
+def test_language_models(spark, make, monkeypatch, chunk):
+    monkeypatch.setattr(lm_scoring, "CHUNK", chunk)
     rng = random.Random(1)
-    rows = [(i, " ".join(rng.choices(["red", "green", "blue"] if i % 2 else ["one", "two", "three"], k=30))) for i in range(200)] + [(900, None), (901, "1 2 3"), (902, "rarest")]
-    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _ in rows[:200] if i % 3] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r.doc_id: r for r in lm_scoring.score_cross_entropy(make(rows), labels).collect()}
-    assert len(got) == len(rows)
-    assert max(got[i].score for i in range(200) if i % 2) < min(got[i].score for i in range(200) if not i % 2)
-    assert got[900].n_tokens == 0 and got[900].score == 0 and got[901].score == 0
-    # against counts in plain Python
-    vocabulary, pairs = {}, {True: {}, False: {}}
-    tokens = {i: re.findall(r"[a-z]+", t or "") for i, t in rows}
-    total = sum(map(len, tokens.values()))
-    for w in (w for t in tokens.values() for w in t):
-        vocabulary[w] = vocabulary.get(w, 0) + 1
-    kept = {w for w, n in vocabulary.items() if n * lm_scoring.MAX_VOCABULARY >= total}
-    code = {w: w if w in kept else "" for w in vocabulary}
-    own = {i for i, _ in rows[:200] if i % 3 and i % 2}
-    for i, t in tokens.items():
-        for a, b in zip(["", *(code[w] for w in t)], [code[w] for w in t], strict=False):
-            pairs[i in own][a, b] = pairs[i in own].get((a, b), 0) + 1
-
-    def loss(model, a, b):
-        n = sum(c for (x, _), c in model.items() if x == a)
-        unigram = (sum(c for (_, y), c in model.items() if y == b) + 1) / (sum(model.values()) + len(kept) + 1)
-        if not n:
-            return -np.log(unigram)
-        here = {y: c for (x, y), c in model.items() if x == a}
-        return -np.log(max(here.get(b, 0) - 0.75, 0) / n + (n - sum(max(c - 0.75, 0) for c in here.values())) / n * unigram)
-
-    for i in (1, 2, 902):
-        t = [code[w] for w in tokens[i]]
-        want = [np.mean([loss(pairs[k], a, b) for a, b in zip(["", *t], t, strict=False)]) for k in (True, False)]
-        assert np.allclose([got[i].target_loss, got[i].background_loss], want, atol=1e-4)
+    rows = [(i, " ".join(rng.choices(["red", "Green", "blue", "äé"] if i % 2 else ["one", "two", "three"], k=rng.randrange(40)))) for i in range(120)]
+    rows += [(900, None), (901, "1 2 3"), (902, "rarest"), (7, rows[7][1]), (903, rows[8][1]), (None, "one red"), (904, "")]
+    labels = spark.createDataFrame([(i, int(i % 2), 0) for i, _ in rows[:120] if i % 3] * 2 + [(None, 1, 0), (5555, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = make(rows).selectExpr("*", "'x' as chunk", "1 as target", "2 as is_target").repartition(5)
+    got = sorted(tuple(r) for r in lm_scoring.score_cross_entropy(docs, labels).fillna(-1).collect())
+    own = {i for i, _ in rows if i is not None and i < 120 and i % 3 and i % 2}
+    want = sorted(losses_truth([(-1 if i is None else i, t) for i, t in rows], own))
+    assert [(r[0], r[1], r[2]) for r in got] == [(w[0], w[0] in own, w[1]) for w in want]
+    assert np.allclose([(r[3], r[4], r[5]) for r in got], [(w[2], w[3], w[2] - w[3]) for w in want], atol=1e-8)
+
+
+def test_language_models_of_odd_tables(spark, make):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert lm_scoring.score_cross_entropy(make([]), labels).count() == 0
+    assert [(r.doc_id, r.score) for r in lm_scoring.score_cross_entropy(make([(1, None), (1, None)]), labels).collect()] == [(1, 0.0), (1, 0.0)]
 
 
 def test_rare_words_are_modelled(spark, make):
-    """Documents that differ only in words far below 1/3000 of all tokens get different scores."""
+    """Documents that differ only in words that are rare among all tokens get different scores."""
     rows = [(0, "common azure topic"), (1, "common umber topic"), (2, "common azure topic"), (3, "common umber topic"), (9, "common " * 30_000)]
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in lm_scoring.score_cross_entropy(make(rows), labels).collect()}

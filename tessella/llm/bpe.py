@@ -24,8 +24,12 @@ from .common import map_arrow, table
 
 #: Below this code point, letters and case are as old as Unicode itself, and Python's tables agree with any library's.
 _COMMON = 0x250
-#: A worker forgets its words beyond so many characters, so memory is bounded whatever the corpus; they are encoded again when met.
-CACHE_CHARS = 8_000_000
+#: A worker holds two generations of words, and drops the older one whenever the younger has grown to so many bytes; words that are
+#: met again move to the younger one, others are encoded again. A word counts with its ids and the tables' room for both.
+CACHE_BYTES = 24_000_000
+WORD_BYTES = 260
+#: Pairs of tokens that a worker remembers to be stable or not (about 120 bytes each) before it starts afresh.
+CACHE_PAIRS = 300_000
 #: Words longer than this are walked one by one instead of being inserted: a branch of a million nodes would share nothing.
 LONG_WORD = 200
 
@@ -75,9 +79,10 @@ class TrieBPE:
         self.words = re.compile(_pattern()).findall
         self.common = re.compile(f"[\x00-{chr(_COMMON - 1)}]*\\Z").match
         self.library = Tokenizer.from_file(path)
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.reachable: dict[int, bool] = {}
-        self.forget()
+        self.stable_pairs: dict[int, bool] = {}
+        self.ids: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     @staticmethod
     def _sizes(kind: dict[str, int]) -> dict[str, list[int]]:
@@ -86,11 +91,16 @@ class TrieBPE:
             out.setdefault(s[-3:], set()).add(len(s))
         return {k: sorted(v, reverse=True) for k, v in out.items()}
 
-    def forget(self) -> None:
-        self.ids: dict[str, bytes] = {}
-        self.text: dict[bytes, str] = {}
-        self.text |= {packed: s for s, packed in self.special_ids.items()}
-        self.held = 0
+    def know(self, word: str, ids: bytes) -> None:
+        self.ids[word] = ids
+        self.held += WORD_BYTES + 2 * len(word) + len(ids)
+
+    def age(self) -> None:
+        """Between batches: keep what is remembered within its bounds."""
+        if self.held > CACHE_BYTES:
+            self.older, self.ids, self.held = self.ids, {}, 0
+        if len(self.stable_pairs) > CACHE_PAIRS:
+            self.stable_pairs.clear()
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain merging by rank; used for pairs of tokens only."""
@@ -103,11 +113,9 @@ class TrieBPE:
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens, put side by side, encode to themselves; left -1: whether the right one does."""
-        known = self.stable_pairs.get((left, right))
-        if known is None:
-            parts = [right] if left < 0 else [left, right]
-            known = self.merged([s for i in parts for s in self.symbols[i]]) == [self.token[i] for i in parts]
-            self.stable_pairs[left, right] = known
+        parts = [right] if left < 0 else [left, right]
+        known = self.merged([s for i in parts for s in self.symbols[i]]) == [self.token[i] for i in parts]
+        self.stable_pairs[left << 32 | right] = known
         return known
 
     def last_token(self, path: list[str], states: list[int], kinds: dict[str, int]) -> int:
@@ -122,7 +130,8 @@ class TrieBPE:
                     continue
                 # beside the last token before it; at the start of a word, a token must encode to itself
                 left = -1 if size == n else states[n - size]
-                if known[left, token] if (left, token) in known else self.stable(left, token):
+                fits = known.get(left << 32 | token)
+                if self.stable(left, token) if fits is None else fits:
                     return token
         raise ValueError(f"no token ends {whole!r}")
 
@@ -144,7 +153,7 @@ class TrieBPE:
         return self.spelled(self.last_token(path, states, self.final), states, len(letters))
 
     def learn(self, words: set[str]) -> None:
-        """Insert words into a trie and walk it depth first; keeps each word's ids and token texts."""
+        """Insert words into a trie and walk it depth first; keeps each word's ids."""
         collecting = gc.isenabled()
         gc.disable()  # a trie has no cycles, and scanning its many small tables would take longer than the walk
         try:
@@ -185,9 +194,7 @@ class TrieBPE:
             states.append(self.last_token(path, states, self.inner) if len(node) > ("" in node) else -1)
             walk.append(iter(node.items()))
         for word, ids in done:
-            self.ids[word] = packed = np.array(ids, "<u4").tobytes()
-            self.text[packed] = " ".join(map(self.token.__getitem__, ids))
-            self.held += len(word)
+            self.know(word, np.array(ids, "<u4").tobytes())
 
     def pieces(self, text: str) -> list[str]:
         """The words of a text without special tokens, as the file's normalizer and splitter make them."""
@@ -204,28 +211,36 @@ class TrieBPE:
         cut = self.split_special.split(text or "") if self.split_special else [text or ""]
         return [part if k % 2 else self.pieces(part) for k, part in enumerate(cut) if part]
 
-    def encode_many(self, texts: list[str | None]) -> list[tuple[bytes, str]]:
-        """For each text its ids as little-endian unsigned 32-bit integers, and the text that they decode to.
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers.
 
-        The words that a batch adds go into one trie; special tokens stand for themselves; tokens decode with spaces between.
+        The words that the texts add go into one trie; special tokens stand for themselves.
         """
         cut = [self.parts(t) for t in texts]
-        if self.held > CACHE_CHARS:
-            self.forget()
-        ids, said = self.ids, self.text
-        self.learn({w for parts in cut for words in parts if isinstance(words, list) for w in words if w not in ids})
+        self.age()
+        ids, older, fresh = self.ids, self.older, set()
+        for parts in cut:
+            for words in parts:
+                if isinstance(words, list):
+                    for w in {w for w in words if w not in ids}:
+                        if w in older:
+                            self.know(w, older[w])
+                        else:
+                            fresh.add(w)
+        self.learn(fresh)
         out = []
         for parts in cut:
             got: list[bytes] = []
             for words in parts:
-                got += [ids[w] for w in words] if isinstance(words, list) else [self.special_ids[words]]
-            out.append((b"".join(got), " ".join([said[x] for x in got])))
+                got += map(ids.__getitem__, words) if isinstance(words, list) else [self.special_ids[words]]
+            out.append(b"".join(got))
         return out
 
-    def encode(self, text: str | None) -> tuple[bytes, str]:
+    def encode(self, text: str | None) -> bytes:
         return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> str:
+        """The text of any ids: their tokens with spaces between."""
         return " ".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
@@ -244,36 +259,38 @@ def encode_documents(docs: DataFrame, tokenizer: str, key: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(tokenizer)
         for b in batches:
-            got = [ids for ids, _ in bpe.encode_many(b.column(1).to_pylist())]
+            got = bpe.encode_many(b.column(1).to_pylist())
             yield pa.record_batch(
                 [b.column(0), pa.array([np.frombuffer(x, "<u4").astype("int32") for x in got], pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in got], pa.string())],
                 ["doc_id", "ids", "decoded"],
             )
 
-    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string", 200)
+    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {docs.schema[key].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def encoding_digests(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row.
 
-    No shuffle: each worker keeps a trie of the words it has met, bounded by CACHE_CHARS. Null and empty texts have no
-    tokens and decode to the empty text. Each batch checks one document by decoding its ids again. Repeated rows
-    give repeated results, an empty table gives none, and other columns are ignored.
+    Every text is encoded, and its ids are decoded again. No shuffle: each worker keeps the words it has met, bounded by CACHE_BYTES.
+    Null and empty texts have no tokens and decode to the empty text. A long text is one task's work, in memory of about 100 bytes
+    a word beside it. Repeated rows give repeated results, an empty table gives none, and other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _encoder(tokenizer)
         for b in batches:
-            sizes, ids_sha, text_sha = [], [], []
-            for k, (ids, said) in enumerate(bpe.encode_many(b.column(1).to_pylist())):
-                if not k and bpe.decode(ids) != said:
-                    raise ValueError("the ids do not decode to the encoded text")
-                sizes.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(said.encode("utf-8")).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(sizes, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string", 400)
+            ids = bpe.encode_many(b.column(1).to_pylist())
+            yield pa.record_batch(
+                [
+                    b.column(0),
+                    pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(x).encode("utf-8")).hexdigest() for x in ids], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return map_arrow(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), run, f"doc_id {docs.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def default_tokenizer() -> str:

@@ -106,7 +106,16 @@ def test_tokens_are_the_library_s(spark, make, corpus, library):
 
 
 def test_forgetting_changes_nothing(monkeypatch, library):
-    monkeypatch.setattr(bpe, "CACHE_CHARS", 10)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 900)
+    monkeypatch.setattr(bpe, "CACHE_PAIRS", 3)
     encoder = bpe.TrieBPE(bpe.default_tokenizer())
-    for t in ("some words here", "other words there", "some words here"):
-        assert np.frombuffer(encoder.encode(t)[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    for t in ("some words here", "other words there", "some words here", "there are words", "here", "other some"):
+        assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(encoder.ids) + len(encoder.older) < 9 and encoder.decode(encoder.encode(t)) == library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
+
+
+def test_tokens_of_odd_tables(spark, make):
+    assert bpe.encoding_digests(make([]), bpe.default_tokenizer()).count() == 0
+    docs = make([(1, "same words"), (1, "same words"), (None, None)]).selectExpr("*", "1 as n_tokens", "'x' as ids_sha256")
+    got = sorted((str(r.doc_id), r.n_tokens) for r in bpe.encoding_digests(docs, bpe.default_tokenizer()).collect())
+    assert got == [("1", 2), ("1", 2), ("None", 0)]

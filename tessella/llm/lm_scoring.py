@@ -23,9 +23,9 @@ from .text import IS_LETTER, blobs, mix, word_hashes
 #: Weight of the unigram distribution, in tokens, beside the counts of a history (a Dirichlet prior).
 PRIOR = 10.0
 #: Tokens of a chunk; a longer text is a chunk of its own.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Tokens of the collection for each range of hashes: a task sums up one range at a time, of less than so many pairs.
-RANGE = 4_000_000
+RANGE = 2_000_000
 #: Losses are added up as whole numbers of this fraction, so that sums don't depend on their order.
 STEPS = 1_000_000_000
 #: Ids of target documents (about 16 bytes each) are broadcast up to this many, and joined by a shuffle beyond.

@@ -74,6 +74,43 @@ def test_repeated_strings(docs, corpus, monkeypatch, most):
     assert got == repeats_truth(corpus, 400)
 
 
+@pytest.mark.parametrize("sent", [1 << 26, 0])
+def test_repeats_of_one_hot_passage(make, monkeypatch, sent):
+    """Many different texts around one passage: groups are cut twice, and look-ups are broadcast or not."""
+    monkeypatch.setattr(suffixes, "MAX_PIECES", 3)
+    monkeypatch.setattr(suffixes, "BROADCAST_BYTES", sent)
+    monkeypatch.setattr(suffixes, "SEGMENT", 1500)
+    rng = random.Random(8)
+
+    def noise(n):
+        return "".join(rng.choice("abcdefgh ") for _ in range(n))
+
+    passage = noise(390)
+    rows = [(i, noise(rng.randrange(200)) + rng.choice(["", "near", "nearer"]) + passage + rng.choice(["", "end here", "end there and on"]) + noise(rng.randrange(300))) for i in range(60)]
+    rows += [(60, passage * 9), (61, noise(2000) + passage + noise(2000)), (61, rows[3][1])]
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(make(rows)).collect())
+    assert got == repeats_truth(rows, 400) and sum(r[2] > 0 for r in got) > 10
+
+
+def test_narrowed_parts_hold_every_string():
+    rng = random.Random(1)
+    for _ in range(50):
+        away, strings = rng.randrange(337), rng.randrange(1, 338)
+        strings = min(strings, away + 1)
+        piece = bytes(rng.choices(b"abcdef", k=strings + 399))
+        for width in (48, 7, 1):
+            got = [(first + k, own[k : k + 400]) for _, first, own, gone in suffixes.narrowed(piece, away, width) for k in range(len(own) - 399)]
+            assert sorted(got) == [(k, piece[k : k + 400]) for k in range(strings)]
+
+
+def test_files_of_a_collection_are_sequential_and_go(tmp_path):
+    rng = random.Random(4)
+    core = bytes(rng.choices(b"abcd", k=500))
+    rows = [(1, core, 60), (1, core[20:] + b"x", 40), (2, core, 60), (2, core[:450] + b"y", 60)]
+    flags = suffixes.Collection(rows, str(tmp_path)).repeated()
+    assert [int(f.sum()) for f in flags] == [81, 81, 51, 51] and not list(tmp_path.iterdir())
+
+
 def test_repeated_strings_of_odd_tables(make):
     assert suffixes.remove_repeats(make([])).count() == 0
     rows = [(1, None), (1, None), (2, "q" * 399), (3, "q" * 400), (4, "p" * 401)]

@@ -1,13 +1,15 @@
 """Secret scan: exact base patterns, and a character convolutional network in numpy over every candidate and its context.
 
-The network is trained on labelled findings: candidates of all documents that belong to a base finding, and other candidates of
-sampled documents. Its scores are calibrated on one part of the sample that it was not trained on, or by cross-fitting where that
-part would be too small, and the threshold there keeps the wanted recall.
+The network is trained on labelled findings: candidates of all documents that belong to a base finding, the same findings altered so that no base
+pattern matches them (another name or none before the value, another alphabet or length), and other candidates of sampled documents. Its scores are
+calibrated on one part of the sample that it was not trained on, or by cross-fitting where that part would be too small, and the threshold keeps the
+wanted recall of altered findings there: those are what only the network can find.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -16,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import map_arrow, table
 from .text import blobs, runs
@@ -38,10 +41,18 @@ MAX_WINDOWS = 64
 #: Parts of the sample, one of which is held out; each is, in turn, if there are fewer than LEAST of a class on either side.
 PARTS, LEAST = 4, 5
 MIN_RECALL = 0.95
+#: Weight, in the second half of training, of other candidates that the first half takes for findings.
+HARD = 10.0
+#: Lengths of altered values. The base pattern for hex digits takes no run shorter than 32.
+SHORT, LONG = 12, 31
+#: A sample with fewer findings than this is filled up with made-up values in the places of other candidates.
+LEAST_FINDINGS = 64
+#: Labels of candidates: other, base finding, altered finding.
+OTHER, FOUND, ALTERED = 0, 1, 2
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[ord(c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"]] = True
-_WIDTH, _EMBED, _FILTERS = 5, 8, 16
+_WIDTH, _EMBED, _FILTERS = 5, 8, 24
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -141,15 +152,19 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.slope * raw + self.shift, -40, 40)))
 
 
-def train(x: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 256, rate: float = 0.01, seed: int = 7) -> Network:
-    """Adam on class-balanced logistic loss; deterministic."""
+def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.01, seed: int = 7, steps: int = 400) -> Network:
+    """Adam on class-balanced logistic loss, for so many epochs and steps at least; deterministic."""
+    epochs = max(epochs, -(-steps * batch // max(1, len(x)))) if epochs > 1 else epochs
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network.fresh(rng)
     names = ("embed", "conv", "bias", "out")
     m, v = {n: 0.0 for n in names}, {n: 0.0 for n in names}
     weight = np.where(y == 1, len(y) / max(1, 2 * (y == 1).sum()), len(y) / max(1, 2 * (y == 0).sum()))
     t = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        if epoch == epochs // 2:  # rare kinds of others that still look like findings count more from now on
+            hard = (y == 0) & (net.logits(x) > 0)
+            weight = weight * np.where(hard, HARD, 1.0)
         order = rng.permutation(len(x))
         for k in range(0, len(x), batch):
             own = order[k : k + batch]
@@ -183,16 +198,25 @@ def calibrate(net: Network, x: np.ndarray, y: np.ndarray) -> Network:
 
 
 def scaled(net: Network, raw: np.ndarray, y: np.ndarray) -> Network:
-    """Platt scaling of held-out candidates' outputs; the threshold is the highest that keeps MIN_RECALL of their findings."""
+    """Platt scaling of held-out candidates' outputs, and the threshold.
+
+    It keeps MIN_RECALL of their altered findings (of all, if none is altered) with as few others as that allows, and lies halfway between the
+    classes where they stand apart.
+    """
     from .toxicity import Model
     from .toxicity import calibrate as platt
 
     scale = Model(np.zeros(1, np.int64), np.ones(1), 0.0)
     scale.raw = lambda docs: np.array(docs)  # type: ignore[method-assign]
-    scale = platt(scale, list(raw), y)
+    scale = platt(scale, list(raw), (y > 0).astype(int))
     net.slope, net.shift = scale.slope, scale.shift
-    found = np.sort(net.chance(raw[y == 1]))
-    net.threshold = float(found[int((1 - MIN_RECALL) * len(found))]) if len(found) else 2.0
+    found, others = np.sort(raw[y == max(FOUND, y.max(initial=0))]), raw[y == OTHER]
+    if not len(found):
+        net.threshold = 2.0
+        return net
+    highest = found[int((1 - MIN_RECALL) * len(found))]
+    most = others.max(initial=-np.inf)
+    net.threshold = float(net.chance((highest + most) / 2 if np.isfinite(most) and most < highest else highest))
     return net
 
 
@@ -207,8 +231,37 @@ def _values(text: str) -> list[tuple[int, int, int, int]]:
     return [tuple(len(text[:k].encode("utf-8")) for k in (*span, *value)) for span, value in found]
 
 
+_ALNUM = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def altered(data: bytes, found: tuple[int, int, int, int], rng: random.Random) -> Iterator[tuple[bytes, int, int, int]]:
+    """A finding (start, end, and those of its value) in its surroundings, so changed that no base pattern matches it: data, start, end and label of its candidate, and of a name before it."""
+    s, e, vs, ve = found
+    left, right = data[max(0, s - 2 * BEFORE) : s].decode("utf-8", "ignore"), data[e : e + 2 * AFTER].decode("utf-8", "ignore")
+    before, value = data[s:vs].decode("utf-8"), data[vs:ve].decode("utf-8")
+    separator = re.sub(r"^\w+", "", before)
+    name = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 12)))
+    size = min(len(value), rng.randint(SHORT, LONG), rng.randint(SHORT, 2 * LONG))
+    own = value[rng.randint(0, len(value) - size) :][:size]
+    mixed = dict(zip(sorted(set(own)), rng.sample(_ALNUM, len(_ALNUM)), strict=False))
+    fresh = "".join(mixed[c] for c in own)
+    for head, core in ((name + separator, own), ("", own), (name + separator, fresh), ("", own.upper()), ("", fresh), (name + ": ", own.upper()), (name + " ", fresh.upper())):
+        # quotes that the value stood in go with its name
+        text, tail = left + head + core, right if head.endswith(separator) and separator else right.lstrip("\"'")
+        if any(x < len(text) and len(text) - len(core) < y for x, y, _ in base_spans(text + tail)):
+            continue
+        at, whole = len(text.encode("utf-8")) - 1, (text + tail).encode("utf-8")
+        start, end = candidates(whole)
+        named = len(left.encode("utf-8"))
+        for x, y in zip(start.tolist(), end.tolist(), strict=True):
+            if x <= at < y:
+                yield whole, x, y, ALTERED
+            elif x <= named < y <= at - len(core):
+                yield whole, x, y, OTHER
+
+
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each candidate's windows, whether it overlaps the value of a base finding, and which of its windows do from their anchors on.
+    """Each candidate's windows, its label, and which of its windows do from their anchors on.
 
     Candidates that only overlap the rest of a finding, such as the name before a value, are neither. Others are only those of documents
     asked for, and of each task the MAX_OTHERS with the smallest hashes.
@@ -218,6 +271,15 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def least() -> list[tuple]:
         return sorted(others.values())[:MAX_OTHERS]
 
+    def example(data: bytes, s: int, e: int, inside: list[tuple[int, int]], doc: int, label: int) -> tuple:
+        at = anchors(np.array([s]), np.array([e]))[1]
+        hits = np.array([any(a < min(y, e) and x < a + WINDOW - BEFORE for x, y in inside) for a in at.tolist()], np.uint8)
+        if len(at) > MAX_WINDOWS:
+            keep = np.sort(np.concatenate([np.flatnonzero(hits), np.flatnonzero(hits == 0)])[:MAX_WINDOWS])
+            at, hits = at[keep], hits[keep]
+        x = windows(data, at).tobytes()
+        return int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), doc, x, label, hits.tobytes()
+
     def sent(rows: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
         return pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["rank", "doc", "window", "label", "hits"])
@@ -232,30 +294,41 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, end = candidates(data)
             for s, e in zip(start.tolist(), end.tolist(), strict=True):
                 near = [v for v in values if s < v[1] and v[0] < e]
-                label = int(any(s < v[3] and v[2] < e for v in near))
-                if (near or not asked) and not label:
-                    continue
-                at = anchors(np.array([s]), np.array([e]))[1]
-                hits = np.array([any(a < min(v[3], e) and v[2] < a + WINDOW - BEFORE for v in near) for a in at.tolist()], np.uint8)
-                if len(at) > MAX_WINDOWS:
-                    keep = np.sort(np.concatenate([np.flatnonzero(hits), np.flatnonzero(hits == 0)])[:MAX_WINDOWS])
-                    at, hits = at[keep], hits[keep]
-                x = windows(data, at).tobytes()
-                row = (int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True), doc, x, label, hits.tobytes())
-                if label:
-                    rows.append(row)
-                else:
-                    others[x] = min(row, others.get(x, row))
+                inside = [(v[2], v[3]) for v in near if s < v[3] and v[2] < e]
+                if inside:
+                    rows.append(example(data, s, e, inside, doc, FOUND))
+                elif not near and asked:
+                    row = example(data, s, e, [], doc, OTHER)
+                    others[row[2]] = min(row, others.get(row[2], row))
+            for v in values:
+                rng = random.Random(data[v[0] : v[1]])
+                for own, s, e, label in altered(data, v, rng):
+                    row = example(own, s, e, [(s, e)] if label else [], doc, label)
+                    if label:
+                        rows.append(row)
+                    else:
+                        others[row[2]] = min(row, others.get(row[2], row))
             if len(others) > 2 * MAX_OTHERS:
                 others = {r[2]: r for r in least()}
         yield sent(rows)
     yield sent(least())
 
 
+def made_up(others: list, n: int) -> list:
+    """Findings with made-up values in the places of other candidates that one window covers, for samples with few real ones."""
+    rng, out = random.Random(n), []
+    for k, row in enumerate([r for r in others if len(r["hits"]) == 1][:n]):
+        x = row["window"]
+        inside = int(np.logical_and.accumulate(_TOKEN[np.frombuffer(x[BEFORE:], np.uint8)]).sum())
+        value = "".join(rng.choices("0123456789abcdef" if k % 2 else _ALNUM, k=rng.randint(SHORT, LONG))).encode()
+        out.append({"doc": row["doc"], "window": (x[:BEFORE] + value + x[BEFORE + inside :] + bytes(WINDOW))[:WINDOW], "label": ALTERED, "hits": b"\x01"})
+    return out
+
+
 def fit(docs: DataFrame) -> Network | None:
-    """Train on a bounded sample: findings of all documents by hash, and other candidates of the documents with the smallest hashes.
+    """Train on a bounded sample: findings of all documents by hash, these altered, and other candidates of the documents with the smallest hashes.
 
-    None if there are fewer than two different findings or nothing else to learn from.
+    A sample of fewer than LEAST_FINDINGS is filled up with made-up ones. None if there are no candidates to learn from.
     """
     docs = docs.select("text", F.xxhash64("doc_id", "text").alias("doc"))
     sampled = docs.select("doc").distinct().orderBy("doc").limit(SAMPLE_DOCS).collect()
@@ -263,23 +336,27 @@ def fit(docs: DataFrame) -> Network | None:
         return None
     every = map_arrow(docs.select("doc", "text", F.col("doc") <= sampled[-1][0]), _labelled, "rank long, doc long, window binary, label int, hits binary")
     # the part that every window falls into is decided by one of its documents
-    every = every.groupBy("rank", "window", "label", "hits").agg(F.min("doc").alias("doc")).cache()
-    rows = [r for label, most in ((1, MAX_FINDINGS), (0, MAX_OTHERS)) for r in every.where(F.col("label") == label).orderBy("rank", "window").limit(most).collect()]
-    every.unpersist()
+    every = every.groupBy("rank", "window", "label", "hits").agg(F.min("doc").alias("doc"))
+    best = Window.partitionBy("label").orderBy("rank", "window")
+    rows = every.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= F.when(F.col("label") == OTHER, MAX_OTHERS).otherwise(MAX_FINDINGS)).collect()
+    rows = sorted(rows, key=lambda r: (-r["label"], r["nth"]))
+    altered_ = sum(r["label"] == ALTERED for r in rows)
+    if altered_ < LEAST_FINDINGS:
+        rows += made_up([r for r in rows if r["label"] == OTHER], LEAST_FINDINGS - altered_)
     y, doc = np.array([r["label"] for r in rows], int), np.array([r["doc"] for r in rows], np.int64)
-    if (y == 1).sum() < 2 or not (y == 0).any():
+    if (y > 0).sum() < 2 or not (y == 0).any():
         return None
     held = doc % PARTS == 0
-    if min((y[~held] == 1).sum(), (y[~held] == 0).sum(), (y[held] == 1).sum()) >= LEAST:
+    if min((y[~held] > 0).sum(), (y[~held] == 0).sum(), (y[held] == ALTERED).sum()) >= LEAST:
         return learned(rows, y, held)
     return crossed(rows, y, doc)
 
 
 def _fold(y: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Parts by document, with the findings dealt out evenly: of one document only, they are dealt out one by one."""
-    ids, at = np.unique(doc[y == 1], return_inverse=True)
+    ids, at = np.unique(doc[y > 0], return_inverse=True)
     fold = np.abs(doc % PARTS)
-    fold[y == 1] = (at if len(ids) > 1 else np.arange((y == 1).sum())) % PARTS
+    fold[y > 0] = (at if len(ids) > 1 else np.arange((y > 0).sum())) % PARTS
     return fold
 
 
@@ -288,6 +365,7 @@ def _arrays(rows: list, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     x = np.frombuffer(b"".join(r["window"] for r in rows), np.uint8).reshape(-1, WINDOW)
     owner = np.repeat(np.arange(len(rows)), [len(r["hits"]) for r in rows])
     hits = np.frombuffer(b"".join(r["hits"] for r in rows), np.uint8)
+    y = (y > 0).astype(int)
     return x, y[owner], owner, hits == y[owner]
 
 
@@ -341,7 +419,8 @@ def _said(spans: list[tuple[int, int, int]]) -> str:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, n_model, base_sha256, spans, has_network of every row.
 
-    has_network is false, in every row, if the table has too few findings to train a network: n_model is 0 then for want of one.
+    has_network is false, in every row, if no document sampled has candidates to train a network on: n_model is 0 then for want of one.
+    A long text is scanned in one task, candidate by candidate.
 
     Null and empty texts have no findings. Spans are those of the matches, in code points with exclusive ends. Kinds may overlap each other;
     spans that the network adds overlap no base finding. Repeated rows give repeated results, an empty table gives none, and columns

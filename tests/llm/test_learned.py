@@ -146,14 +146,48 @@ def test_secret_at_the_end_of_a_long_candidate(make):
     assert sum(len(f) for f in found) >= 45 and sum(len(f) for f in plain) <= 5
 
 
-@pytest.mark.parametrize("findings", [2, 6])
+@pytest.mark.parametrize("findings", [0, 2, 6])
 def test_few_findings_still_train_a_network(make, monkeypatch, findings):
     monkeypatch.setattr(secrets, "SAMPLE_DOCS", 50)  # most findings are outside of the sampled documents
     rng = random.Random(5)
     rows = [(i, " ".join([*words(rng, 20), "wonderfullylongword", *(["password=" + "".join(rng.choices("0123456789abcdef", k=20))] if i < findings else [])])) for i in range(400)]
     got = secrets.scan_documents(make([*rows, (None, "password=abcdef0123456789"), (None, None)])).collect()
     assert len(got) == 402 and all(r.has_network for r in got) and sum(r.n_assign for r in got) == findings + 1
-    assert not any(r.has_network for r in secrets.scan_documents(make(rows[findings:])).collect())
+    assert not any(r.has_network for r in secrets.scan_documents(make([(1, "few words"), (2, None)])).collect())
+
+
+def masked(rng):
+    """Secrets that no base pattern matches, and the text around them."""
+    kind = rng.randrange(4)
+    if kind == 0:
+        value = "".join(rng.choices("0123456789abcdef", k=rng.randrange(16, 31)))
+        return value, f'pin = "{value}"'
+    if kind == 1:
+        value = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", k=20))
+        return value, f"use {value} for"
+    if kind == 2:
+        value = "".join(rng.choices("0123456789ABCDEF", k=rng.randrange(20, 40)))
+        return value, f"signature: {value}"
+    value = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+    return value, f"bearer '{value}'"
+
+
+def test_network_finds_what_base_patterns_miss(make, secret_rows):
+    """Trained on base findings only; held-out masked secrets are found with a recall and a precision of at least 0.9."""
+    net = secrets.fit(make(secret_rows).select("doc_id", "text"))
+    rng = random.Random(77)
+    hits = false = 0
+    for k in range(400):
+        text, value = [*words(rng, 25), "wonderfullylongword" + rng.choice("abc"), "http-like/path/of-words." + rng.choice("xyz")], None
+        if k % 2:
+            value, said = masked(rng)
+            text.insert(rng.randrange(len(text)), said)
+        text = " ".join(text)
+        assert not secrets.base_spans(text)
+        found = [text[s:e] for s, e, _ in secrets.find_all([text], net)[0]]
+        hits += value is not None and any(value in f for f in found)
+        false += sum(value is None or value not in f for f in found)
+    assert hits >= 0.9 * 200 and hits >= 0.9 * (hits + false), (hits, false)
 
 
 def test_neighbouring_texts_are_no_context():

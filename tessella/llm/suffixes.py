@@ -368,7 +368,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     long = docs.where(F.octet_length("text") >= LENGTH)
     rows = written(map_arrow(long.select("tid", "text"), _anchored, "key long, sid long, tid binary, start long, strings int, away int"), "sa-pieces")
     # minimizers that occur once can't repeat; rows of equal texts count, and become one with their number
-    keys = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = written(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "sa-keys")
+    # read back, both sides of the join are plain shuffles, and a hot minimizer's partition can be split
     shared = rows.join(keys, "key", "left_semi").repartition("tid")
     shared = written(shared.groupBy("tid", "start", "key", "sid", "strings", "away").agg(F.count("*").alias("n")), "sa-shared")
     sids = shared.groupBy("key", "sid").agg(F.sum("n").alias("n"), F.min(F.struct("tid", "start", "strings", "away")).alias("place"))

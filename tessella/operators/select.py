@@ -6,6 +6,7 @@ LIMIT into a top-k, and picks and re-plans joins by size.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -17,15 +18,19 @@ from ..functions.scalar import Bound, Renderer, Scope, quoted
 from ..plans import nodes as n
 
 
+_planning = threading.RLock()
+
+
 @contextmanager
 def dialect_settings(spark: SparkSession) -> Iterator[None]:
-    """Integers wrap and bad casts are NULL while a plan is made; the caller's settings come back afterwards."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    """Integers wrap and bad casts are NULL while a plan is made, by one thread at a time; the caller's settings come back afterwards."""
+    with _planning:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)
 
 
 class Compiler:
@@ -70,6 +75,26 @@ class Compiler:
         text = self.query(query)
         return f"SELECT * FROM ({text}) AS t(v) WHERE v IS NOT NULL" if not_in else text
 
+    def without(self, e: Any, value: Callable[[Any], str]) -> str | None:
+        """A conjunct x NOT IN (sub-query) as an anti join on equality, which may shuffle; Spark broadcasts the sub-query of any other NOT IN, whatever its size.
+
+        A NULL x passes only if the sub-query gives nothing.
+        """
+        if not isinstance(e, n.InQuery) or not e.negated or not _plain(e.arg):
+            return None
+        x, rows = value(e.arg), self.inner(e.query, True)
+        return f"(NOT EXISTS (SELECT 1 FROM ({rows}) AS __not_in(v) WHERE __not_in.v = {x}) AND ({x} IS NOT NULL OR NOT EXISTS (SELECT 1 FROM ({rows}) AS __not_in(v))))"
+
+    def kind(self, query: n.Select | n.Union) -> str:
+        """The kind of a sub-query's first column."""
+        q = query if isinstance(query, n.Select) else query.branches[0]
+        scope = Scope([(r.alias or r.name.rpartition(".")[2], dict(self.frame(r.name)[1].dtypes)) for r in (q.source, *(j.relation for j in q.joins))])
+        first = q.items[0].expr
+        if isinstance(first, n.Star):
+            alias, columns = scope.relations[0]
+            first = n.Col(next(iter(columns)), alias)
+        return Renderer(scope, self.bound, self.inner, self.params, self.compat, self.kind).kind(first)
+
     def select(self, q: n.Select) -> str:
         relations: list[tuple[str, dict[str, str]]] = []
         sources: list[str] = []
@@ -81,7 +106,7 @@ class Compiler:
             relations.append((alias, dict(frame.dtypes)))
             sources.append(f"{marker} AS {quoted(alias)}")
         scope = Scope(relations)
-        render = Renderer(scope, self.bound, self.inner, self.params, self.compat)
+        render = Renderer(scope, self.bound, self.inner, self.params, self.compat, self.kind)
 
         def value(e: Any) -> str:
             return render(_first_rows(e))
@@ -107,7 +132,7 @@ class Compiler:
             names.append(name)
         out = f"SELECT {'DISTINCT ' * q.distinct}{', '.join(columns)} FROM {text}"
         if q.where is not None:
-            out += f" WHERE {value(q.where)}"
+            out += " WHERE " + " AND ".join(self.without(c, value) or value(c) for c in _conjuncts(q.where))
         if q.group:
             out += " GROUP BY " + ", ".join(render(c) for c in q.group)
         if q.having is not None:
@@ -139,6 +164,19 @@ class Compiler:
         return [(f"{quoted(alias)}.{quoted(c)} AS {quoted(f'{alias}_{c}')}", f"{alias}_{c}") for alias, columns in relations for c in columns]
 
 
+def _conjuncts(e: Any) -> list[Any]:
+    return [*_conjuncts(e.left), *_conjuncts(e.right)] if isinstance(e, n.Op) and e.op == "AND" else [e]
+
+
+def _plain(e: Any) -> bool:
+    """No sub-query inside."""
+    if isinstance(e, (n.Scalar, n.InQuery)):
+        return False
+    if hasattr(e, "__dataclass_fields__"):
+        return all(_plain(getattr(e, f)) for f in e.__dataclass_fields__)
+    return all(map(_plain, e)) if isinstance(e, tuple) else True
+
+
 def _first_rows(e: Any) -> Any:
     """The expression with every scalar sub-query limited to one row."""
     if isinstance(e, n.Scalar):

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine, Session
+from .engine import Engine
+from .script_queries import COMPAT, CUSTOMER, MORE, scratch_path, with_customers
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +119,26 @@ SQL: dict[str, str | tuple[str, str]] = {
     "fn_coalesce": "SELECT c_custkey, COALESCE(o_orderkey, 0 - 1) AS v FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 400000",
     "fn_nullif": "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS v FROM nation",
     "case_when": "SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'some' ELSE 'rich' END AS v FROM customer",
+    # divisions whose kind is that of branches, arguments or sub-queries
+    "arith_div_mixed": (
+        "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN o_custkey END / 7 AS a, COALESCE(NULL, o_custkey, 3) / 4 AS b, NULLIF(o_orderkey, 5) / 2 AS c, (SELECT COUNT(*) FROM nation) / 4 AS d, CASE WHEN o_custkey > 50 THEN 7 ELSE 2.5 END / 2 AS e, (SELECT MAX(o_orderkey) FROM orders) / 2.0 AS f FROM orders",
+        "SELECT o_orderkey, CASE WHEN o_custkey > 50 THEN o_custkey END // 7 AS a, COALESCE(NULL, o_custkey, 3) // 4 AS b, NULLIF(o_orderkey, 5) // 2 AS c, (SELECT COUNT(*) FROM nation) // 4 AS d, CASE WHEN o_custkey > 50 THEN 7 ELSE 2.5 END / 2 AS e, (SELECT MAX(o_orderkey) FROM orders) / 2.0 AS f FROM orders",
+    ),
+    "case_subquery": "SELECT c_custkey, CASE WHEN c_acctbal > (SELECT AVG(c_acctbal) FROM customer) THEN 'above' ELSE 'below' END AS v FROM customer",
+    "not_in_subquery_nulls": (
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 4) FROM orders)",
+        "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey <> 4)",
+    ),
+    "not_in_subquery_null_side": (
+        "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 350000)",
+        "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE NOT o_totalprice > 350000",
+    ),
+    "not_in_subquery_empty": "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 300000 WHERE o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey < 0)",
+    "union_branch_limit": (
+        "SELECT n_regionkey AS k FROM nation ORDER BY n_regionkey LIMIT 3 UNION ALL SELECT r_regionkey FROM region ORDER BY r_regionkey DESC LIMIT 2",
+        "(SELECT n_regionkey AS k FROM nation ORDER BY n_regionkey LIMIT 3) UNION ALL (SELECT r_regionkey FROM region ORDER BY r_regionkey DESC LIMIT 2)",
+    ),
+    "limit_without_order": ("SELECT COUNT(*) AS c FROM orders WHERE 5 > (SELECT o_orderkey - o_orderkey FROM orders LIMIT 1)", "SELECT COUNT(*) AS c FROM orders"),
     # the benchmark's eighteen queries
     "bench_q01": f"{_KEY_PRICE} WHERE l_linenumber = 3 ORDER BY {KEY4} LIMIT 1000",
     "bench_q02": f"{_KEY_PRICE} WHERE l_linenumber = 3 AND l_extendedprice > 10000 ORDER BY {KEY4} LIMIT 1000",
@@ -169,69 +188,57 @@ def bind_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # changes, on a scratch database that holds whole tables
-def _scratch(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
-    return f"{shared.rstrip('/')}/tessella-db-{uuid.uuid4().hex}"
-
-
-def _with_customers(spark: SparkSession, sf_dir: str) -> Session:
-    session = Engine(spark, _scratch(spark)).session()
-    session.execute("CREATE TABLE customer (c_custkey INT PRIMARY KEY, c_name TEXT, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment TEXT)")
-    session.insert_frame("customer", spark.read.parquet(f"{sf_dir}/customer.parquet"))
-    return session
-
-
 def dml_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     s.execute("INSERT INTO customer (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) VALUES (-1, 'it''s new', 3, 1.5, 'NONE'), (-2, 'other', 4, 2.0, 'NONE')")
     return s.execute("SELECT * FROM customer").frame
 
 
 def dml_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     s.execute("UPDATE customer SET c_nationkey = c_nationkey + 100, c_mktsegment = 'X' WHERE c_acctbal < 0")
     return s.execute("SELECT * FROM customer").frame
 
 
 def dml_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     s.execute("DELETE FROM customer WHERE c_nationkey IN (1, 2, 3)")
     return s.execute("SELECT * FROM customer").frame
 
 
 def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     for text in ("BEGIN", "DELETE FROM customer WHERE c_custkey > 10", "ROLLBACK"):
         s.execute(text)
     return s.execute("SELECT * FROM customer").frame
 
 
 def txn_savepoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     for text in ("BEGIN", "DELETE FROM customer WHERE c_nationkey = 1", "SAVEPOINT a", "DELETE FROM customer WHERE c_nationkey = 2", "ROLLBACK TO SAVEPOINT a", "COMMIT"):
         s.execute(text)
     return s.execute("SELECT * FROM customer").frame
 
 
 def ddl_add_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     for text in ("ALTER TABLE customer ADD COLUMN age INT DEFAULT 25", "ALTER TABLE customer RENAME TO members"):
         s.execute(text)
     return s.execute("SELECT c_custkey, age FROM members").frame
 
 
 def analyze_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _with_customers(spark, sf_dir)
+    s = with_customers(spark, sf_dir)
     s.execute("ANALYZE TABLE customer")
     return s.execute("SELECT table_name, row_count FROM sys.table_stats").frame
 
 
 def catalog_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _with_customers(spark, sf_dir).execute("SELECT name, data_type, ordinal, is_primary_key FROM sys.columns").frame
+    return with_customers(spark, sf_dir).execute("SELECT name, data_type, ordinal, is_primary_key FROM sys.columns").frame
 
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, path = _with_customers(spark, sf_dir), _scratch(spark)
+    s, path = with_customers(spark, sf_dir), scratch_path(spark)
     s.execute(f"EXPORT TABLE customer TO CSV '{path}'")
     s.execute("DELETE FROM customer")
     s.execute(f"IMPORT TABLE customer FROM CSV '{path}'")
@@ -239,42 +246,50 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, path = _with_customers(spark, sf_dir), _scratch(spark)
+    s, path = with_customers(spark, sf_dir), scratch_path(spark)
     s.execute(f"EXPORT TABLE customer TO JSON '{path}'")
     s.execute("DELETE FROM customer")
     s.execute(f"IMPORT TABLE customer FROM JSON '{path}'")
     return s.execute("SELECT * FROM customer").frame
 
 
-_CUSTOMER = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 #: Queries that run more than one statement, with their SQL for DuckDB.
 SCRIPTS: dict[str, tuple[Query, str]] = {
     "bind_params": (bind_params, "SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 100"),
-    "dml_insert": (dml_insert, f"{_CUSTOMER} UNION ALL VALUES (-1, 'it''s new', 3, 1.5, 'NONE'), (-2, 'other', 4, 2.0, 'NONE')"),
+    "dml_insert": (dml_insert, f"{CUSTOMER} UNION ALL VALUES (-1, 'it''s new', 3, 1.5, 'NONE'), (-2, 'other', 4, 2.0, 'NONE')"),
     "dml_update": (
         dml_update,
         "SELECT c_custkey, c_name, CAST(CASE WHEN c_acctbal < 0 THEN c_nationkey + 100 ELSE c_nationkey END AS BIGINT) AS c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN 'X' ELSE c_mktsegment END AS c_mktsegment FROM customer",
     ),
-    "dml_delete": (dml_delete, f"{_CUSTOMER} WHERE c_nationkey NOT IN (1, 2, 3)"),
-    "txn_rollback": (txn_rollback, _CUSTOMER),
-    "txn_savepoint": (txn_savepoint, f"{_CUSTOMER} WHERE c_nationkey <> 1"),
+    "dml_delete": (dml_delete, f"{CUSTOMER} WHERE c_nationkey NOT IN (1, 2, 3)"),
+    "txn_rollback": (txn_rollback, CUSTOMER),
+    "txn_savepoint": (txn_savepoint, f"{CUSTOMER} WHERE c_nationkey <> 1"),
     "ddl_add_column": (ddl_add_column, "SELECT c_custkey, CAST(25 AS BIGINT) AS age FROM customer"),
     "analyze_table": (analyze_table, "SELECT 'customer' AS table_name, COUNT(*) AS row_count FROM customer"),
     "catalog_columns": (
         catalog_columns,
         "SELECT * FROM (VALUES ('c_custkey', 'int64', 1, true), ('c_name', 'text', 2, false), ('c_nationkey', 'int64', 3, false), ('c_acctbal', 'float64', 4, false), ('c_mktsegment', 'text', 5, false)) AS t(name, data_type, ordinal, is_primary_key)",
     ),
-    "csv_roundtrip": (csv_roundtrip, _CUSTOMER),
-    "json_roundtrip": (json_roundtrip, _CUSTOMER),
-}
+    "csv_roundtrip": (csv_roundtrip, CUSTOMER),
+    "json_roundtrip": (json_roundtrip, CUSTOMER),
+} | MORE
+
+
+def _compat(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        older = engine(spark, sf_dir)
+        older.compat = True
+        return older.sql(COMPAT[name][0])
+
+    return run
 
 
 def queries() -> dict[str, Query]:
-    return {name: _dialect(name) for name in SQL} | {name: q for name, (q, _) in SCRIPTS.items()}
+    return {name: _dialect(name) for name in SQL} | {name: _compat(name) for name in COMPAT} | {name: q for name, (q, _) in SCRIPTS.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {name: text if isinstance(text, str) else text[1] for name, text in SQL.items()}
+    out = {name: text if isinstance(text, str) else text[1] for name, text in (SQL | COMPAT).items()}
     for name, columns in ROUNDED.items():
         out[name] = f"SELECT * REPLACE ({', '.join(f'round({c}, 4) AS {c}' for c in columns)}) FROM ({out[name]})"
     for name, columns in SUMS.items():

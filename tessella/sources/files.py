@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from ..errors import EngineError
 
 
+#: Texts may hold quotes, which are doubled, and line ends; an empty text is not NULL.
+_CSV = {"multiLine": True, "quote": '"', "escape": '"', "emptyValue": "", "nullValue": None, "encoding": "UTF-8"}
+
+
 def read_file(spark: SparkSession, kind: str, path: str, columns: list[dict[str, Any]]) -> DataFrame:
     """A file's rows with the table's columns, matched by header name; a column that the file lacks is NULL.
 
     Fractional text goes into whole-number columns without its fraction; text that is no number is an error.
     """
     if kind == "csv":
-        raw = spark.read.option("header", True).csv(path)
+        raw = spark.read.options(header=True, **_CSV).csv(path)
     elif kind == "json":
         raw = spark.read.json(path)
     elif kind in ("parquet", "orc"):
@@ -43,7 +47,7 @@ def read_file(spark: SparkSession, kind: str, path: str, columns: list[dict[str,
 def write_file(df: DataFrame, kind: str, path: str) -> None:
     """Export to a folder of files; Spark writes one for each partition."""
     if kind == "csv":
-        df.write.mode("overwrite").option("header", True).csv(path)
+        df.write.mode("overwrite").options(header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **{k: v for k, v in _CSV.items() if k != "multiLine"}).csv(path)
     elif kind in ("json", "parquet", "orc"):
         df.write.mode("overwrite").format(kind).save(path)
     else:

@@ -279,12 +279,11 @@ def tiles_truth(item, text, least=5):
 
 def test_tiling_matches_brute_force():
     rng = np.random.default_rng(8)
-    for _ in range(60):
+    for _ in range(400):
         item = rng.integers(0, 6, rng.integers(5, 40)).astype(np.uint64)
         text = np.concatenate([rng.integers(0, 6, 20), item[len(item) // 2 :], rng.integers(6, 9, 3), item[: len(item) // 2]]).astype(np.uint64)
         got, want = decontaminate.tile(item, text), tiles_truth(item.tolist(), text.tolist())
-        assert max(t[0] for t in got + [(0,)]) == max(t[0] for t in want + [(0,)])
-        assert abs(sum(t[0] for t in got) - sum(t[0] for t in want)) <= 10
+        assert sorted(got) == sorted(want)
         for k, p, t in got:
             assert (item[p : p + k] == text[t : t + k]).all()
 

@@ -24,10 +24,8 @@ SHINGLE = 5
 PERCENT = 75
 SYMBOLS, CHUNK = 64, 4
 MAX_DISTANCE = 2 * (SYMBOLS // CHUNK) - 1
-#: Buckets and blobs are compared in blocks of so many members; larger ones are dealt out as pairs of blocks.
-BLOCK = 128
-#: Of a very large group no member is sent more often than this; its blocks grow instead.
-MOST_COPIES = 48
+#: Buckets and blobs are compared in blocks of about so many members; larger ones are dealt out as pairs of blocks, so a task holds two blocks at most.
+BLOCK = 512
 #: An id list is broadcast up to this many rows (16 bytes each), and joined by a shuffle beyond.
 BROADCAST_ROWS = 1_000_000
 _FACTORS = np.random.Generator(np.random.PCG64(75)).integers(1, 1 << 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -139,7 +137,7 @@ def _blocks(members: DataFrame, group: str, size: str) -> DataFrame:
 
     A group of up to two blocks is not split. The block is a hash of the id, and a member goes to as many pairs as there are blocks.
     """
-    n = F.when(F.col(size) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(size) / F.greatest(F.lit(BLOCK), F.ceil(F.col(size) / MOST_COPIES)))).cast("int")
+    n = F.when(F.col(size) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
     dealt = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
@@ -225,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Texts with equal sets are one class from the start, represented by the smallest doc_id; only classes are indexed. A bucket
     that holds a third of all rows is compared in pairs of blocks that send on a spanning forest, never all pairs. Null and empty texts link with nothing. A row with a null
     doc_id founds no class: it takes the component of an equal text, if there is one, and is then not kept. Fewer than five words
-    are one shingle. Repeated rows get equal results. An empty table gives none, and other columns are ignored.
+    are one shingle. A long text is one task's work, in memory of about 50 bytes a word. Repeated rows get equal results. An empty table gives none, and other columns are ignored.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -1,13 +1,14 @@
 """Exact embedding near-duplicates by dual traversal of cover trees.
 
-Vectors are normalised, so a cosine threshold is a distance threshold. Cells around a bounded set of pivots are packed into
-blocks; pairs of blocks that the covering radii cannot rule out meet in one task, which builds a cover tree for each (nested levels, radii
-halving) and walks both at once: node pairs too far apart are pruned, pairs wholly within the threshold are linked at
+Vectors are normalised, so a cosine threshold is a distance threshold. The upper levels of the tree are cells around pivots, packed into
+blocks; a vector goes to the pairs of its own block and of each block with a cell whose covering radius cannot rule it out. The task of a pair builds a cover
+tree for each side (nested levels, radii halving) and walks both at once: node pairs too far apart are pruned, pairs wholly within the threshold are linked at
 once, and the rest is split down to leaves, where cosines are computed in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, map_arrow, small_batches, table, written
+from .common import connected_components, map_arrow, table, written
 from .neardup import Forest
 
 MIN_COSINE = 0.9
-#: At most so many pivots, the distinct vectors with the smallest hashes.
-PIVOTS = 512
+#: Pivots are the distinct vectors with the smallest hashes: PIVOTS times the root of their number, as far as MOST_PIVOTS, so that they grow with the data.
+PIVOTS, MOST_PIVOTS = 3, 4096
 #: Members of a block; a cell that holds more is split by a hash of the id.
 BLOCK = 4096
 LEAF = 256
@@ -175,13 +176,14 @@ def vector_links(rows: DataFrame) -> DataFrame:
 
     Equal vectors are one class; a class links as one and its copies count. Vectors that are not usable(), and rows with a null
     vec_id, link with nothing. Vectors of different lengths never link. Repeated rows count as copies. An empty table gives none.
-    Only pivots and the statistics of their cells (PIVOTS at most) reach the driver.
+    Only pivots and the statistics of their cells (MOST_PIVOTS at most) reach the driver. Vectors that no radius rules out meet all others, in bounded tasks.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     checked = written(map_arrow(rows, _checked, "vec_id long, data binary"), "vec-rows")
     classes = written(checked.where("data is not null and vec_id is not null").groupBy("data").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "vec-classes")
-    pivots = [r[0] for r in classes.select("data").orderBy(F.xxhash64("data"), "data").limit(PIVOTS).collect()]
+    many = min(MOST_PIVOTS, math.ceil(PIVOTS * math.sqrt(classes.count())))
+    pivots = [r[0] for r in classes.select("data").orderBy(F.xxhash64("data"), "data").limit(many).collect()]
     if not pivots:
         return checked.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     lengths = list(map(len, pivots))
@@ -189,49 +191,58 @@ def vector_links(rows: DataFrame) -> DataFrame:
     pivots = [p for p in pivots if len(p) == length]
     centres = _unit(list(_matrix(pivots)))
 
+    def apart(data: list[bytes]) -> tuple[list[int], np.ndarray]:
+        """Which vectors have the usual length, and their distances from the pivots."""
+        usual = [k for k, d in enumerate(data) if len(d) == length]
+        dots = _unit(list(_matrix([data[k] for k in usual]))) @ centres.T if usual else np.zeros((0, len(centres)))
+        return usual, np.sqrt(np.maximum(0.0, 2 - 2 * dots))
+
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = b.column("data").to_pylist()
-            # vectors of another length share the last cell, which nothing rules out
-            cell, away = np.full(len(data), len(centres)), np.full(len(data), 9.0)
-            if usual := [k for k, d in enumerate(data) if len(d) == length]:
-                dots = _unit(list(_matrix([data[k] for k in usual]))) @ centres.T
-                cell[usual] = dots.argmax(1)
-                away[usual] = np.sqrt(np.maximum(0.0, 2 - 2 * dots.max(1)))
+            # vectors of another length share the last cell
+            cell, away = np.full(b.num_rows, len(centres)), np.zeros(b.num_rows)
+            usual, far = apart(b.column("data").to_pylist())
+            if usual:
+                cell[usual], away[usual] = far.argmin(1), far.min(1)
             yield pa.record_batch([b.column("id"), b.column("copies"), b.column("data"), pa.array(cell.astype(np.int32)), pa.array(away)], ["id", "copies", "data", "cell", "away"])
 
     cells = written(map_arrow(classes.select("id", "copies", "data"), celled, "id long, copies long, data binary, cell int, away double"), "vec-cells")
     stats = {r["cell"]: (r["n"], r["r"]) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("r")).collect()}
     # cells in the order of a tree over the pivots, packed into blocks; a large cell becomes several blocks of its own
-    tree = Tree(centres)
-    blocks: list[list[int]] = []
-    split: list[tuple[int, int, int]] = []
-    filled = BLOCK
-    for cell in [*tree.order.tolist(), len(centres)]:
+    packed: list[tuple[int, int]] = []  # (cell, block), in the order of blocks
+    start, parts = np.zeros(len(centres) + 1, np.int64), np.ones(len(centres) + 1, np.int64)
+    blocks, filled = 0, BLOCK
+    for cell in [*Tree(centres).order.tolist(), len(centres)]:
         n = stats.get(cell, (0, 0))[0]
         if not n:
             continue
-        parts = -(-n // BLOCK)
-        if parts > 1 or filled + n > BLOCK:
-            blocks += [[] for _ in range(parts)]
-            filled = 0
-        for part in range(parts):
-            blocks[len(blocks) - parts + part].append(cell)
-        split.append((cell, len(blocks) - parts, parts))
-        filled = BLOCK if parts > 1 else filled + n
-    reach = np.array([stats.get(c, (0, 0))[1] for c in range(len(centres))])
-    bound = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ centres.T)) - reach[:, None] - reach[None] - np.sqrt(2 - 2 * MIN_COSINE) - _SLACK <= 0
-    bound = np.pad(bound, ((0, 1), (0, 1)), constant_values=True)
-    members = np.zeros((len(blocks), len(centres) + 1), np.int32)
-    for k, own in enumerate(blocks):
-        members[k, own] = 1
-    meet = (members @ bound.astype(np.int32) @ members.T) > 0
-    meet |= np.eye(len(blocks), dtype=bool)
-    pairs = spark.createDataFrame([(k, int(min(k, o)), int(max(k, o))) for k in range(len(blocks)) for o in np.flatnonzero(meet[k])], "block int, i int, j int")
-    placed = spark.createDataFrame(split, "cell int, start int, parts int")
-    dealt = cells.join(F.broadcast(placed), "cell").withColumn("block", (F.col("start") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
-    small_batches(spark)
-    met = dealt.select("id", "copies", "data", "block").join(pairs, "block").groupBy("i", "j").applyInPandas(_compare, "a long, b long, n long")
+        parts[cell] = -(-n // BLOCK)
+        if parts[cell] > 1 or filled + n > BLOCK or cell == len(centres):
+            blocks, filled = blocks + int(parts[cell]), 0
+        start[cell] = blocks - parts[cell]
+        packed += [(cell, k) for k in range(start[cell], blocks)]
+        filled = BLOCK if parts[cell] > 1 else filled + n
+    order, first = np.array([c for c, _ in packed]), np.flatnonzero(np.diff([k for _, k in packed], prepend=-1))
+    reach = np.array([stats.get(c, (0, 0))[1] for c in range(len(centres))]) + math.sqrt(2 - 2 * MIN_COSINE) + _SLACK
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each vector, for each pair of blocks that it goes to."""
+        for b in batches:
+            cell, part = b.column("cell").to_numpy(), b.column("part").to_numpy()
+            own = start[cell] + part % parts[cell]
+            near = np.zeros((b.num_rows, len(centres) + 1), bool)
+            near[:, -1] = cell == len(centres)
+            usual, far = apart(b.column("data").to_pylist())
+            near[usual, :-1] = far <= reach
+            row, other = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1) | (np.arange(blocks) == own[:, None]))
+            sent = pa.array(row)
+            columns = [b.column(n).take(sent) for n in ("id", "copies", "data")]
+            numbers = [pa.array(x.astype(np.int32)) for x in (own[row], np.minimum(own[row], other), np.maximum(own[row], other))]
+            yield pa.record_batch([*columns, *numbers], ["id", "copies", "data", "block", "i", "j"])
+
+    sent = cells.select("id", "copies", "data", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("part"))
+    sent = map_arrow(sent, dealt, "id long, copies long, data binary, block int, i int, j int")
+    met = sent.groupBy("i", "j").applyInPandas(_compare, "a long, b long, n long")
     met = written(met, "vec-met")
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     edges = written(met.where("b is not null").select("a", "b").distinct(), "vec-edges")

@@ -150,7 +150,7 @@ def link_truth(rows):
     return out, components([i for i, _ in rows if i is not None], linked)
 
 
-@pytest.mark.parametrize(("block", "leaf", "pivots"), [(4096, 256, 512), (16, 4, 8)])
+@pytest.mark.parametrize(("block", "leaf", "pivots"), [(4096, 256, 3), (16, 4, 1)])
 def test_embeddings(spark, monkeypatch, block, leaf, pivots):
     for name, value in (("BLOCK", block), ("LEAF", leaf), ("PIVOTS", pivots)):
         monkeypatch.setattr(vectors, name, value)
@@ -168,6 +168,29 @@ def test_embeddings(spark, monkeypatch, block, leaf, pivots):
     assert vectors.vector_links(frame.limit(0)).count() == 0
 
 
+def test_clustered_vectors_meet_few_others(spark, monkeypatch):
+    """Five times the vectors in tight clusters are dealt out to much less than five times the blocks each."""
+    monkeypatch.setattr(vectors, "BLOCK", 128)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 32))
+    dealt = []
+    compare = vectors._compare
+    total = spark.sparkContext.accumulator(0)
+
+    def counting(rows):
+        total.add(len(rows))
+        return compare(rows)
+
+    monkeypatch.setattr(vectors, "_compare", counting)
+    for n in (2000, 10_000):
+        x = centres[rng.integers(0, 40, n)] + rng.normal(scale=0.05, size=(n, 32))
+        before = total.value
+        got = vectors.vector_links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"))
+        assert got.where("n_links > 0").count() >= 0.99 * n
+        dealt.append(total.value - before)
+    assert dealt[1] < dealt[0] * 5**1.3, dealt
+
+
 def test_tree_covers():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 6))

@@ -3,6 +3,8 @@
 A numpy classifier is trained from confirmed toxic documents and unlabelled documents. The risk on negatives is
 estimated as unlabelled risk minus prior times positive risk; where that falls below zero, the step turns back,
 so the flexible model cannot fit the negative risk away. Features are hashed words and word beginnings, counted once a document.
+All documents are the unlabelled text: each part of them trains a model beside the same positives, and the mean of the models, by documents, is the
+classifier (parameter mixing).
 """
 
 from __future__ import annotations
@@ -16,12 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, small_batches, table
+from .common import map_arrow, table
 from .text import IS_LETTER, blobs, mix, word_hashes
 
-#: Bounds of the training sample: at most so many confirmed toxic and so many unlabelled documents, those with the smallest hashes of doc_id.
+#: Bound of the positive sample: so many confirmed toxic documents at most, those with the smallest hashes of doc_id.
 MAX_POSITIVE = 3000
-MAX_UNLABELLED = 9000
+#: Unlabelled documents that train a model together; all of them are dealt out to such parts by a hash.
+PART = 9000
 #: Bound of the labelled sample that the score is calibrated on.
 MAX_CALIBRATION = 6000
 #: A feature counts if so many of the positive sample's documents have it, and such a share of them.
@@ -83,13 +86,21 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, penalty: float = 1e-3) -> Model:
-    """Full-batch Adam on the non-negative risk with logistic loss. Deterministic. Without positives every score is the prior."""
+def positive_bins(positive: list[np.ndarray]) -> np.ndarray:
+    """The features that enough positive documents have."""
     counts = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=1 << BITS)
-    bins = np.flatnonzero(counts >= max(MIN_POSITIVE_DOCS, len(positive) * MIN_POSITIVE_SHARE))
+    return np.flatnonzero(counts >= max(MIN_POSITIVE_DOCS, len(positive) * MIN_POSITIVE_SHARE))
+
+
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, penalty: float = 5e-3) -> Model:
+    """Full-batch Adam on the non-negative risk with logistic loss, with steps that shrink to nothing and the mean of the second half of the rounds.
+
+    Deterministic. Without positives every score is the prior.
+    """
+    bins = positive_bins(positive)
     bias0 = float(np.log(prior / (1 - prior)))
     if not len(bins) or not unlabelled:
-        return Model(bins[:0], np.zeros(0), bias0)
+        return Model(bins, np.zeros(len(bins)), bias0)
     place = np.full(1 << BITS, -1, np.int32)
     place[bins] = np.arange(len(bins))
 
@@ -101,6 +112,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     u_at, u_row = rows(unlabelled)
     w, b = np.zeros(len(bins)), bias0
     m, v = np.zeros(len(bins) + 1), np.zeros(len(bins) + 1)
+    sum_w, sum_b = np.zeros(len(bins)), 0.0
     for t in range(1, rounds + 1):
         fp = np.bincount(p_row, w[p_at], len(positive)) + b
         fu = np.bincount(u_row, w[u_at], len(unlabelled)) + b
@@ -114,8 +126,18 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
             gp = gp + prior * (sp - 1) / len(positive)
         g = np.append(np.bincount(p_at, gp[p_row], len(bins)) + np.bincount(u_at, gu[u_row], len(bins)) + penalty * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        step = rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
+        if 2 * t > rounds:
+            sum_w, sum_b = sum_w + w, sum_b + b
+    w, b = sum_w / (rounds - rounds // 2), sum_b / (rounds - rounds // 2)
+    return Model(bins, w, float(b))
+
+
+def mixed(models: list[tuple[int, np.ndarray, float]], bins: np.ndarray) -> Model:
+    """The mean of models over the same features, by the documents that trained each; weights close to zero are dropped."""
+    n = sum(m[0] for m in models)
+    w, b = sum(m[0] * m[1] for m in models) / n, sum(m[0] * m[2] for m in models) / n
     kept = np.abs(w) > 0.005
     return Model(bins[kept], w[kept], float(b))
 
@@ -163,7 +185,8 @@ def _sample(docs: DataFrame, ids: DataFrame) -> list[tuple[int, list]]:
         for b in batches:
             yield pa.record_batch([b.column(0), pa.array(document_features(b.column(1).to_pylist()), pa.list_(pa.int32()))], ["doc_id", "features"])
 
-    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), run, "doc_id long, features array<int>")
+    # rows that repeat a doc_id and its text count once
+    rows = map_arrow(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"), run, "doc_id long, features array<int>").distinct()
     got = rows.toArrow()
     return [(i, np.asarray(f.values)) for i, f in zip(got.column(0).to_pylist(), got.column(1), strict=True)]
 
@@ -173,20 +196,60 @@ def _least(rows: DataFrame, n: int) -> list[int]:
     return [r[0] for r in rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
 
 
+def _parts(docs: DataFrame, positive: list[np.ndarray], prior: float) -> list[tuple[int, np.ndarray, float]]:
+    """A model (documents, weights, bias) of each part of all documents; features that no positive has are left out before the shuffle."""
+    bins = positive_bins(positive)
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[bins] = True
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [f[wanted[f]].tobytes() for f in document_features(b.column(1).to_pylist())]
+            yield pa.record_batch([b.column(0), pa.array(data, pa.binary())], ["hash", "features"])
+
+    def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held = None, []
+
+        def one() -> pa.RecordBatch:
+            model = train_nnpu(positive, [np.frombuffer(f, np.int32) for f in held], prior)
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([len(held)]), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["part", "n", "weights", "bias"])
+
+        for b in batches:
+            for k, f in zip(b.column("part").to_pylist(), b.column("features").to_pylist(), strict=True):
+                if k != part and held:
+                    yield one()
+                    held = []
+                part = k
+                held.append(f)
+        if held:
+            yield one()
+
+    rows = docs.select(F.xxhash64(F.lit("part"), "doc_id", "text").alias("hash"), "text")
+    parts = max(1, -(-rows.count() // PART))
+    rows = map_arrow(rows, featured, "hash long, features binary").withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
+    # rows of one hash are copies; the order within a part is that of hashes, whatever the partitioning
+    dealt = rows.repartition("part").sortWithinPartitions("part", "hash")
+    models = map_arrow(dealt, trained, "part int, n long, weights binary, bias double").orderBy("part").collect()
+    return [(r["n"], np.frombuffer(bytes(r["weights"])), r["bias"]) for r in models]
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on the bounded samples; labels of held-out documents are not read."""
+    """Train on the bounded sample of positives and all documents; labels of held-out documents are not read.
+
+    What reaches the driver is the labelled sample and one model (a few thousand weights) for each PART documents.
+    """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").where(~_held_out("doc_id"))
     n = known.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("int")).alias("toxic")).first()
     prior = min(0.5, max(1e-3, (n["toxic"] or 0) / max(1, n["n"])))
     toxic = set(_least(known.where("toxic = 1"), MAX_POSITIVE))
     checked = {r[0]: r[1] for r in known.groupBy("doc_id").agg(F.max("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_CALIBRATION).collect()}
-    free = set(_least(docs.select("doc_id"), MAX_UNLABELLED))
-    wanted = sorted(toxic | checked.keys() | free)
-    if not wanted:
-        return train_nnpu([], [], prior)
-    rows = sorted(_sample(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long")), key=lambda r: (r[0], r[1].tobytes()))
-    model = train_nnpu([f for i, f in rows if i in toxic], [f for i, f in rows if i in free], prior)
+    wanted = sorted(toxic | checked.keys())
+    rows = sorted(_sample(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long")), key=lambda r: (r[0], r[1].tobytes())) if wanted else []
+    positive = [f for i, f in rows if i in toxic]
+    bins = positive_bins(positive)
+    models = _parts(docs, positive, prior) if len(bins) else []
+    model = mixed(models, bins) if models else Model(bins[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
     labelled = [(f, checked[i]) for i, f in rows if i in checked]
     return calibrate(model, [f for f, _ in labelled], np.array([y for _, y in labelled]))
 
@@ -220,7 +283,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             held = [is_held_out(i) for i in b.column(0).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(held), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    small_batches(docs.sparkSession)
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, held_out boolean, score double, predicted int")
 
 

@@ -24,7 +24,7 @@ from .text import IS_LETTER, blobs, mix, word_hashes
 #: Bound of the positive sample: so many confirmed toxic documents at most, those with the smallest hashes of doc_id.
 MAX_POSITIVE = 3000
 #: Unlabelled documents that train a model together; all of them are dealt out to such parts by a hash.
-PART = 9000
+PART = 12_000
 #: Bound of the labelled sample that the score is calibrated on.
 MAX_CALIBRATION = 6000
 #: A feature counts if so many of the positive sample's documents have it, and such a share of them.
@@ -86,6 +86,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+class _Sums:
+    """Sums of values by a number from 0 to below n that each has; the numbers are sorted once."""
+
+    def __init__(self, of: np.ndarray, n: int):
+        self.order = None if (of[1:] >= of[:-1]).all() else np.argsort(of, kind="stable")
+        counts = np.bincount(of, minlength=n)
+        self.some = np.flatnonzero(counts)
+        self.first = (np.cumsum(counts) - counts)[self.some]
+        self.n = n
+
+    def sorted(self, x: np.ndarray) -> np.ndarray:
+        return x if self.order is None else x[self.order]
+
+    def __call__(self, sorted_: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.first):
+            out[self.some] = np.add.reduceat(sorted_, self.first)
+        return out
+
+
 def positive_bins(positive: list[np.ndarray]) -> np.ndarray:
     """The features that enough positive documents have."""
     counts = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=1 << BITS)
@@ -104,27 +124,29 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     place = np.full(1 << BITS, -1, np.int32)
     place[bins] = np.arange(len(bins))
 
-    def rows(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [p[p >= 0] for p in (place[d] for d in docs)]
-        return np.concatenate([*kept, np.zeros(0, np.int32)]).astype(np.int64), np.repeat(np.arange(len(docs)), [len(k) for k in kept])
-
-    p_at, p_row = rows(positive)
-    u_at, u_row = rows(unlabelled)
+    found = [p[p >= 0] for d in (positive, unlabelled) for p in (place[x] for x in d)]
+    sizes = np.array([len(f) for f in found])
+    at = np.concatenate(found)  # features of all documents, the positives' first
+    by_row = _Sums(np.repeat(np.arange(len(found)), sizes), len(found))
+    by_bin = _Sums(at, len(bins))
+    row = by_bin.sorted(np.repeat(np.arange(len(found)), sizes))
+    n = len(positive)
     w, b = np.zeros(len(bins)), bias0
     m, v = np.zeros(len(bins) + 1), np.zeros(len(bins) + 1)
     sum_w, sum_b = np.zeros(len(bins)), 0.0
     for t in range(1, rounds + 1):
-        fp = np.bincount(p_row, w[p_at], len(positive)) + b
-        fu = np.bincount(u_row, w[u_at], len(unlabelled)) + b
+        f = by_row(w[at]) + b
+        fp, fu = f[:n], f[n:]
         sp, su = _sigmoid(fp), _sigmoid(fu)
         # losses log(1 + exp(f)) of the negative label, and their derivatives su and sp
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        gu, gp = su / len(unlabelled), -prior * sp / len(positive)
+        gu, gp = su / len(unlabelled), -prior * sp / n
         if negative < 0:
             gu, gp = -gu, -gp  # step back until the negative risk is plausible again
         else:
-            gp = gp + prior * (sp - 1) / len(positive)
-        g = np.append(np.bincount(p_at, gp[p_row], len(bins)) + np.bincount(u_at, gu[u_row], len(bins)) + penalty * w, gp.sum() + gu.sum())
+            gp = gp + prior * (sp - 1) / n
+        each = np.concatenate([gp, gu])
+        g = np.append(by_bin(each[row]) + penalty * w, each.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (1 - (t - 1) / rounds) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -229,8 +251,8 @@ def _parts(docs: DataFrame, positive: list[np.ndarray], prior: float) -> list[tu
     rows = map_arrow(rows, featured, "hash long, features binary").withColumn("part", F.pmod("hash", F.lit(parts)).cast("int"))
     # rows of one hash are copies; the order within a part is that of hashes, whatever the partitioning
     dealt = rows.repartition("part").sortWithinPartitions("part", "hash")
-    models = map_arrow(dealt, trained, "part int, n long, weights binary, bias double").orderBy("part").collect()
-    return [(r["n"], np.frombuffer(bytes(r["weights"])), r["bias"]) for r in models]
+    models = map_arrow(dealt, trained, "part int, n long, weights binary, bias double").collect()
+    return [(r["n"], np.frombuffer(bytes(r["weights"])), r["bias"]) for r in sorted(models, key=lambda r: r["part"])]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

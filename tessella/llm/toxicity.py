@@ -112,10 +112,10 @@ def positive_bins(positive: list[np.ndarray]) -> np.ndarray:
     return np.flatnonzero(counts >= max(MIN_POSITIVE_DOCS, len(positive) * MIN_POSITIVE_SHARE))
 
 
-def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, penalty: float = 5e-3) -> Model:
+def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 150, rate: float = 0.05, penalty: float = 5e-3, start: Model | None = None) -> Model:
     """Full-batch Adam on the non-negative risk with logistic loss, with steps that shrink to nothing and the mean of the second half of the rounds.
 
-    Deterministic. Without positives every score is the prior.
+    Deterministic. Without positives every score is the prior. start is a model over the same features to go on from.
     """
     bins = positive_bins(positive)
     bias0 = float(np.log(prior / (1 - prior)))
@@ -131,7 +131,7 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
     by_bin = _Sums(at, len(bins))
     row = by_bin.sorted(np.repeat(np.arange(len(found)), sizes))
     n = len(positive)
-    w, b = np.zeros(len(bins)), bias0
+    w, b = (start.weights, start.bias) if start else (np.zeros(len(bins)), bias0)
     m, v = np.zeros(len(bins) + 1), np.zeros(len(bins) + 1)
     sum_w, sum_b = np.zeros(len(bins)), 0.0
     for t in range(1, rounds + 1):
@@ -218,8 +218,8 @@ def _least(rows: DataFrame, n: int) -> list[int]:
     return [r[0] for r in rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n).collect()]
 
 
-def _parts(docs: DataFrame, positive: list[np.ndarray], prior: float) -> list[tuple[int, np.ndarray, float]]:
-    """A model (documents, weights, bias) of each part of all documents; features that no positive has are left out before the shuffle."""
+def _parts(docs: DataFrame, positive: list[np.ndarray], prior: float, start: Model) -> list[tuple[int, np.ndarray, float]]:
+    """A model (documents, weights, bias) of each part of all documents, trained on from start; features that no positive has are left out before the shuffle."""
     bins = positive_bins(positive)
     wanted = np.zeros(1 << BITS, bool)
     wanted[bins] = True
@@ -233,7 +233,7 @@ def _parts(docs: DataFrame, positive: list[np.ndarray], prior: float) -> list[tu
         part, held = None, []
 
         def one() -> pa.RecordBatch:
-            model = train_nnpu(positive, [np.frombuffer(f, np.int32) for f in held], prior)
+            model = train_nnpu(positive, [np.frombuffer(f, np.int32) for f in held], prior, rounds=60, rate=0.02, start=start)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([len(held)]), pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias])], ["part", "n", "weights", "bias"])
 
         for b in batches:
@@ -270,7 +270,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sorted(_sample(docs, spark.createDataFrame([(i,) for i in wanted], "doc_id long")), key=lambda r: (r[0], r[1].tobytes())) if wanted else []
     positive = [f for i, f in rows if i in toxic]
     bins = positive_bins(positive)
-    models = _parts(docs, positive, prior) if len(bins) else []
+    # the labelled sample's texts, taken as unlabelled, give the model that all parts start from
+    start = train_nnpu(positive, [f for i, f in rows if i in checked], prior)
+    models = _parts(docs, positive, prior, start) if len(bins) else []
     model = mixed(models, bins) if models else Model(bins[:0], np.zeros(0), float(np.log(prior / (1 - prior))))
     labelled = [(f, checked[i]) for i, f in rows if i in checked]
     return calibrate(model, [f for f, _ in labelled], np.array([y for _, y in labelled]))

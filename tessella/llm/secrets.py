@@ -18,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import map_arrow, table
+from .common import map_arrow, table, written
 from .text import blobs, runs
 
 #: The base patterns, their kinds in the order of listing, and the least length of what they match.
@@ -336,10 +335,9 @@ def fit(docs: DataFrame) -> Network | None:
         return None
     every = map_arrow(docs.select("doc", "text", F.col("doc") <= sampled[-1][0]), _labelled, "rank long, doc long, window binary, label int, hits binary")
     # the part that every window falls into is decided by one of its documents
-    every = every.groupBy("rank", "window", "label", "hits").agg(F.min("doc").alias("doc"))
-    best = Window.partitionBy("label").orderBy("rank", "window")
-    rows = every.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= F.when(F.col("label") == OTHER, MAX_OTHERS).otherwise(MAX_FINDINGS)).collect()
-    rows = sorted(rows, key=lambda r: (-r["label"], r["nth"]))
+    every = written(every.groupBy("rank", "window", "label", "hits").agg(F.min("doc").alias("doc")), "secret-sample")
+    bounds = ((ALTERED, MAX_FINDINGS), (FOUND, MAX_FINDINGS), (OTHER, MAX_OTHERS))
+    rows = [r for label, most in bounds for r in every.where(F.col("label") == label).orderBy("rank", "window", "hits").limit(most).collect()]
     altered_ = sum(r["label"] == ALTERED for r in rows)
     if altered_ < LEAST_FINDINGS:
         rows += made_up([r for r in rows if r["label"] == OTHER], LEAST_FINDINGS - altered_)

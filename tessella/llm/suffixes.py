@@ -33,7 +33,7 @@ WIDTHS = (48, 1)
 #: Bytes of pieces that one collection aims at.
 COLLECTION = 6_000_000
 #: Longer texts are searched in overlapping segments.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Bytes of a look-up that are broadcast; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 64 << 20
 

@@ -9,7 +9,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20260101)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 #: Bytes that are hashed at once; longer data is cut between words. Tables of powers are kept up to this length.
-PART = 1 << 20
+PART = 1 << 18
 _powers: list[np.ndarray] = []
 
 _LOWER = np.arange(256, dtype=np.uint8)

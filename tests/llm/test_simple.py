@@ -111,7 +111,7 @@ def test_forgetting_changes_nothing(monkeypatch, library):
     encoder = bpe.TrieBPE(bpe.default_tokenizer())
     for t in ("some words here", "other words there", "some words here", "there are words", "here", "other some"):
         assert np.frombuffer(encoder.encode(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
-        assert len(encoder.ids) + len(encoder.older) < 9 and encoder.decode(encoder.encode(t)) == library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
+        assert len(encoder.ids) + len(encoder.older) <= 12 and encoder.decode(encoder.encode(t)) == library.decode(library.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
 
 
 def test_tokens_of_odd_tables(spark, make):

@@ -24,7 +24,7 @@ from .text import IS_LETTER, blobs, mix, word_hashes
 #: Bound of the positive sample: so many confirmed toxic documents at most, those with the smallest hashes of doc_id.
 MAX_POSITIVE = 3000
 #: Unlabelled documents that train a model together; all of them are dealt out to such parts by a hash.
-PART = 12_000
+PART = 6000
 #: Bound of the labelled sample that the score is calibrated on.
 MAX_CALIBRATION = 6000
 #: A feature counts if so many of the positive sample's documents have it, and such a share of them.
@@ -90,7 +90,7 @@ class _Sums:
     """Sums of values by a number from 0 to below n that each has; the numbers are sorted once."""
 
     def __init__(self, of: np.ndarray, n: int):
-        self.order = None if (of[1:] >= of[:-1]).all() else np.argsort(of, kind="stable")
+        self.order = None if (of[1:] >= of[:-1]).all() else np.argsort(of, kind="stable").astype(np.int32)
         counts = np.bincount(of, minlength=n)
         self.some = np.flatnonzero(counts)
         self.first = (np.cumsum(counts) - counts)[self.some]
@@ -126,11 +126,11 @@ def train_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior:
 
     found = [p[p >= 0] for d in (positive, unlabelled) for p in (place[x] for x in d)]
     sizes = np.array([len(f) for f in found])
-    at = np.concatenate(found)  # features of all documents, the positives' first
-    by_row = _Sums(np.repeat(np.arange(len(found)), sizes), len(found))
-    by_bin = _Sums(at, len(bins))
-    row = by_bin.sorted(np.repeat(np.arange(len(found)), sizes))
+    at, row = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.int32), sizes)  # features of all documents, the positives' first
+    by_row, by_bin = _Sums(row, len(found)), _Sums(at, len(bins))
+    row = by_bin.sorted(row)
     n = len(positive)
+    del found
     w, b = (start.weights, start.bias) if start else (np.zeros(len(bins)), bias0)
     m, v = np.zeros(len(bins) + 1), np.zeros(len(bins) + 1)
     sum_w, sum_b = np.zeros(len(bins)), 0.0

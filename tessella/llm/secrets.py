@@ -111,10 +111,10 @@ class Network:
         n = _WIDTH * _EMBED
         return Network(rng.normal(0, 0.5, (128, _EMBED)), rng.normal(0, n**-0.5, (n, _FILTERS)), np.zeros(_FILTERS), np.append(rng.normal(0, 0.3, 3 * _FILTERS), 0.0))
 
-    def hidden(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hidden(self, x: np.ndarray) -> np.ndarray:
         e = self.embed.astype(np.float32)[x]
         spots = np.lib.stride_tricks.sliding_window_view(e, _WIDTH, axis=1).transpose(0, 1, 3, 2).reshape(len(x), WINDOW - _WIDTH + 1, -1)
-        return spots, np.maximum(spots @ self.conv.astype(np.float32) + self.bias.astype(np.float32), 0)
+        return np.maximum(spots @ self.conv.astype(np.float32) + self.bias.astype(np.float32), 0)
 
     @staticmethod
     def inside(x: np.ndarray) -> np.ndarray:
@@ -167,22 +167,17 @@ def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 256, rate
         order = rng.permutation(len(x))
         for k in range(0, len(x), batch):
             own = order[k : k + batch]
-            spots, h = net.hidden(x[own])
-            at, value = net.pooled(x[own], h)
+            at, value = net.pooled(x[own], net.hidden(x[own]))
             p = 1 / (1 + np.exp(-np.clip(value @ net.out[:-1] + net.out[-1], -40, 40)))
             g = (p - y[own]) * weight[own] / len(own)
             dv = g[:, None] * net.out[:-1] * (value > 0)
-            dh = np.zeros_like(h, dtype=np.float64)
-            rows = np.arange(len(own))[:, None]
-            for part in range(3):
-                one = slice(part * _FILTERS, (part + 1) * _FILTERS)
-                np.add.at(dh, (rows, at[:, one], np.arange(_FILTERS)), dv[:, one])
-            flat = dh.reshape(-1, _FILTERS)
-            ds = (flat @ net.conv.T).reshape(len(own), -1, _WIDTH, _EMBED)
-            de = np.zeros((128, _EMBED))
-            for w in range(_WIDTH):
-                np.add.at(de, x[own][:, w : w + ds.shape[1]], ds[:, :, w])
-            grads = {"embed": de, "conv": spots.reshape(-1, _WIDTH * _EMBED).T @ flat, "bias": flat.sum(0), "out": np.append(value.T @ g, g.sum())}
+            # only the spots of the maxima have gradients: summed by tap, byte and filter, they give those of embedding and convolution
+            spot, byte = np.arange(len(own))[:, None], x[own]
+            keys = [byte[spot, at + w].astype(np.int64) * _FILTERS + np.arange(at.shape[1]) % _FILTERS for w in range(_WIDTH)]
+            sums = np.stack([np.bincount(key.ravel(), dv.ravel(), 128 * _FILTERS).reshape(128, _FILTERS) for key in keys])
+            embed = np.einsum("wcf,wef->ce", sums, net.conv.reshape(_WIDTH, _EMBED, _FILTERS), optimize=True)
+            conv = np.einsum("ce,wcf->wef", net.embed, sums, optimize=True).reshape(-1, _FILTERS)
+            grads = {"embed": embed, "conv": conv, "bias": sums[0].sum(0), "out": np.append(value.T @ g, g.sum())}
             t += 1
             for n in names:
                 m[n] = 0.9 * m[n] + 0.1 * grads[n]

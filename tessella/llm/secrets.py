@@ -153,7 +153,7 @@ class Network:
 
 def train(x: np.ndarray, y: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.01, seed: int = 7, steps: int = 400) -> Network:
     """Adam on class-balanced logistic loss, for so many epochs and steps at least; deterministic."""
-    epochs = max(epochs, -(-steps * batch // max(1, len(x)))) if epochs > 1 else epochs
+    epochs = max(epochs, -(-steps // max(1, -(-len(x) // batch)))) if epochs > 1 else epochs
     rng = np.random.Generator(np.random.PCG64(seed))
     net = Network.fresh(rng)
     names = ("embed", "conv", "bias", "out")

@@ -1,15 +1,16 @@
 """Exact embedding near-duplicates by dual traversal of cover trees.
 
 Vectors are normalised, so a cosine threshold is a distance threshold. The upper levels of the tree are cells around pivots, packed into
-blocks; a vector goes to the pairs of its own block and of each block with a cell whose covering radius cannot rule it out. The task of a pair builds a cover
-tree for each side (nested levels, radii halving) and walks both at once: node pairs too far apart are pruned, pairs wholly within the threshold are linked at
-once, and the rest is split down to leaves, where cosines are computed in double precision.
+blocks and, where there are many, these into groups; a vector goes to the pairs of its own group and of each group with a cell whose covering radius cannot
+rule it out. The task of a pair builds a cover tree for each block (nested levels, radii halving) and walks two at once: node pairs too far apart are pruned,
+pairs wholly within the threshold are linked at once, and the rest is split down to leaves, where cosines are computed in double precision.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,10 @@ PIVOTS, MOST_PIVOTS = 3, 4096
 #: Members of a block; a cell that holds more is split by a hash of the id.
 BLOCK = 4096
 LEAF = 256
+#: More blocks than this are dealt out in groups of several, so that a vector is sent less often; the vectors of a group have so many bytes at most, or are one block.
+GROUPS, GROUP_BYTES = 16, 16 << 20
+#: Bytes that a worker holds at once of distances from the pivots, and of vectors that it sends on.
+PART_BYTES = 8 << 20
 #: Room for rounding in bounds; never used to decide a link.
 _SLACK = 1e-7
 
@@ -97,12 +102,15 @@ def dual_links(a: Tree, b: Tree, weight_a: np.ndarray, weight_b: np.ndarray, sam
                 walk += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
                 continue
             i, j = a.order[a.first[p] : a.last[p]], b.order[b.first[q] : b.last[q]]
-            hit = a.x[i] @ b.x[j].T >= threshold
-            if same and p == q:
-                hit &= ~np.eye(len(i), dtype=bool)
-            _count(i, j, hit, got_a, got_b, weight_a, weight_b, same and p == q)
-            for r, c in zip(*np.nonzero(hit), strict=True):
-                forest.join(int(i[r]), int(j[c]) + shift)
+            for i in np.split(i, range(LEAF, len(i), LEAF)):  # a leaf of one point's close copies can be a whole block
+                hit = a.x[i] @ b.x[j].T >= threshold
+                if same and p == q:
+                    hit &= i[:, None] != j
+                if not hit.any():
+                    continue
+                _count(i, j, hit, got_a, got_b, weight_a, weight_b, same and p == q)
+                for r, c in zip(*np.nonzero(hit), strict=True):
+                    forest.join(int(i[r]), int(j[c]) + shift)
         elif apart + a.radius[p] + b.radius[q] < limit - _SLACK:
             i, j = a.order[a.first[p] : a.last[p]], b.order[b.first[q] : b.last[q]]
             got_a[i] += weight_b[j].sum()
@@ -152,22 +160,22 @@ def _matrix(data: list[bytes]) -> np.ndarray:
 
 
 def _compare(rows: pd.DataFrame) -> pd.DataFrame:
-    """All links of one pair of blocks: a count for each member (b null) and the spanning edges."""
+    """All links of one pair of groups of blocks: a count for each member (b null) and the spanning edges."""
     out = []
-    i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
+    pair = {int(rows["i"].iloc[0]), int(rows["j"].iloc[0])}
     for _, part in rows.groupby(rows["data"].str.len()):
-        sides = [part[part["block"] == k] for k in ((i,) if i == j else (i, j))]
-        if any(not len(s) for s in sides):
-            continue
-        ids = [s["id"].to_numpy() for s in sides]
-        weights = [s["copies"].to_numpy() for s in sides]
-        trees = [Tree(_unit(list(_matrix(list(s["data"]))))) for s in sides]
-        got_a, got_b, edges = dual_links(trees[0], trees[-1], weights[0], weights[-1], i == j)
-        for own, got in ((ids[0], got_a), (ids[-1], got_b))[: len(sides)]:
-            some = got > 0
-            out.append(pd.DataFrame({"a": own[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": got[some]}))
-        every = np.concatenate(ids)
-        out.append(pd.DataFrame({"a": [every[p] for p, _ in edges], "b": pd.array([every[q] for _, q in edges], "Int64"), "n": 0}))
+        own = {k: (int(s["own"].iloc[0]), s["id"].to_numpy(), s["copies"].to_numpy(), Tree(_unit(list(_matrix(list(s["data"])))))) for k, s in part.groupby("block")}
+        for p, q in combinations_with_replacement(own, 2):
+            sides = [own[k] for k in ((p,) if p == q else (p, q))]
+            if {own[p][0], own[q][0]} != pair:
+                continue
+            ids, weights, trees = zip(*(s[1:] for s in sides), strict=True)
+            got_a, got_b, edges = dual_links(trees[0], trees[-1], weights[0], weights[-1], p == q)
+            for members, got in ((ids[0], got_a), (ids[-1], got_b))[: len(sides)]:
+                some = got > 0
+                out.append(pd.DataFrame({"a": members[some], "b": pd.array([None] * int(some.sum()), "Int64"), "n": got[some]}))
+            every = np.concatenate(ids)
+            out.append(pd.DataFrame({"a": [every[x] for x, _ in edges], "b": pd.array([every[y] for _, y in edges], "Int64"), "n": 0}))
     return pd.concat(out)[["a", "b", "n"]].astype({"a": "int64", "n": "int64"}) if out else pd.DataFrame({"a": pd.array([], "int64"), "b": pd.array([], "Int64"), "n": pd.array([], "int64")})
 
 
@@ -176,7 +184,8 @@ def vector_links(rows: DataFrame) -> DataFrame:
 
     Equal vectors are one class; a class links as one and its copies count. Vectors that are not usable(), and rows with a null
     vec_id, link with nothing. Vectors of different lengths never link. Repeated rows count as copies. An empty table gives none.
-    Only pivots and the statistics of their cells (MOST_PIVOTS at most) reach the driver. Vectors that no radius rules out meet all others, in bounded tasks.
+    Only pivots and the statistics of their cells (MOST_PIVOTS at most) reach the driver. Vectors that no radius rules out meet all others, in bounded tasks:
+    a worker holds distances and vectors to send in parts of PART_BYTES, and two groups of blocks.
     """
     spark = rows.sparkSession
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
@@ -197,8 +206,13 @@ def vector_links(rows: DataFrame) -> DataFrame:
         dots = _unit(list(_matrix([data[k] for k in usual]))) @ centres.T if usual else np.zeros((0, len(centres)))
         return usual, np.sqrt(np.maximum(0.0, 2 - 2 * dots))
 
-    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = max(1, PART_BYTES // (8 * len(centres)))
         for b in batches:
+            yield from (b.slice(k, rows) for k in range(0, b.num_rows, rows))
+
+    def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
             # vectors of another length share the last cell
             cell, away = np.full(b.num_rows, len(centres)), np.zeros(b.num_rows)
             usual, far = apart(b.column("data").to_pylist())
@@ -222,26 +236,32 @@ def vector_links(rows: DataFrame) -> DataFrame:
         start[cell] = blocks - parts[cell]
         packed += [(cell, k) for k in range(start[cell], blocks)]
         filled = BLOCK if parts[cell] > 1 else filled + n
-    order, first = np.array([c for c, _ in packed]), np.flatnonzero(np.diff([k for _, k in packed], prepend=-1))
+    size = max(1, min(-(-blocks // GROUPS), GROUP_BYTES // (BLOCK * length)))  # blocks of a group
+    groups = -(-blocks // size)
+    order, first = np.array([c for c, _ in packed]), np.flatnonzero(np.diff([k // size for _, k in packed], prepend=-1))
     reach = np.array([stats.get(c, (0, 0))[1] for c in range(len(centres))]) + math.sqrt(2 - 2 * MIN_COSINE) + _SLACK
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector, for each pair of blocks that it goes to."""
-        for b in batches:
+        """Each vector, for each pair of groups that it goes to."""
+        for b in sliced(batches):
             cell, part = b.column("cell").to_numpy(), b.column("part").to_numpy()
-            own = start[cell] + part % parts[cell]
+            block = start[cell] + part % parts[cell]
+            own = block // size
             near = np.zeros((b.num_rows, len(centres) + 1), bool)
             near[:, -1] = cell == len(centres)
-            usual, far = apart(b.column("data").to_pylist())
+            data = b.column("data").to_pylist()
+            usual, far = apart(data)
             near[usual, :-1] = far <= reach
-            row, other = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1) | (np.arange(blocks) == own[:, None]))
-            sent = pa.array(row)
-            columns = [b.column(n).take(sent) for n in ("id", "copies", "data")]
-            numbers = [pa.array(x.astype(np.int32)) for x in (own[row], np.minimum(own[row], other), np.maximum(own[row], other))]
-            yield pa.record_batch([*columns, *numbers], ["id", "copies", "data", "block", "i", "j"])
+            row, other = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1) | (np.arange(groups) == own[:, None]))
+            sent = np.cumsum(np.array([len(d) for d in data])[row] + 40) // PART_BYTES
+            for at in np.split(np.arange(len(row)), np.flatnonzero(np.diff(sent)) + 1):
+                r, g = row[at], other[at]
+                columns = [b.column(n).take(pa.array(r)) for n in ("id", "copies", "data")]
+                numbers = [pa.array(x.astype(np.int32)) for x in (block[r], own[r], np.minimum(own[r], g), np.maximum(own[r], g))]
+                yield pa.record_batch([*columns, *numbers], ["id", "copies", "data", "block", "own", "i", "j"])
 
     sent = cells.select("id", "copies", "data", "cell", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("part"))
-    sent = map_arrow(sent, dealt, "id long, copies long, data binary, block int, i int, j int")
+    sent = map_arrow(sent, dealt, "id long, copies long, data binary, block int, own int, i int, j int")
     met = sent.groupBy("i", "j").applyInPandas(_compare, "a long, b long, n long")
     met = written(met, "vec-met")
     counts = met.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from tessella.llm import neardup, suffixes, vectors
 
@@ -168,6 +169,14 @@ def test_embeddings(spark, monkeypatch, block, leaf, pivots):
     assert vectors.vector_links(frame.limit(0)).count() == 0
 
 
+class Most(AccumulatorParam):
+    def zero(self, value):
+        return 0.0
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def test_clustered_vectors_meet_few_others(spark, monkeypatch):
     """Five times the vectors in tight clusters are dealt out to much less than five times the blocks each."""
     monkeypatch.setattr(vectors, "BLOCK", 128)
@@ -191,6 +200,56 @@ def test_clustered_vectors_meet_few_others(spark, monkeypatch):
     assert dealt[1] < dealt[0] * 5**1.3, dealt
 
 
+def test_vectors_are_sent_in_small_batches(spark, monkeypatch):
+    """Vectors that meet all blocks leave a worker in batches of bounded size, and are sent to fewer groups than there are blocks."""
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    total = spark.sparkContext.accumulator(0)
+    largest = spark.sparkContext.accumulator(0.0, Most())
+    mapped, compare = vectors.map_arrow, vectors._compare
+
+    def watched(df, fn, schema):
+        def measured(batches):
+            for b in fn(batches):
+                largest.add(float(b.nbytes))
+                yield b
+
+        return mapped(df, measured, schema)
+
+    def counting(rows):
+        total.add(len(rows))
+        return compare(rows)
+
+    monkeypatch.setattr(vectors, "map_arrow", watched)
+    monkeypatch.setattr(vectors, "_compare", counting)
+    x = np.random.default_rng(3).normal(size=(4000, 64))
+    x[3000:3100] = x[:100] + 0.01
+    got = vectors.vector_links(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").coalesce(1))
+    assert sorted(r.vec_id for r in got.where("n_links = 1 and component_id < 100").collect()) == [*range(100), *range(3000, 3100)]
+    assert got.where("n_links = 0").count() == 3800
+    assert largest.value < 10e6, largest.value
+    assert total.value < 20 * 4000, total.value
+
+
+def test_links_between_groups_of_blocks(spark, monkeypatch):
+    for name, value in (("BLOCK", 16), ("LEAF", 4), ("PIVOTS", 1), ("GROUPS", 3), ("PART_BYTES", 1 << 10)):
+        monkeypatch.setattr(vectors, name, value)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 8))
+    rows = [(k, (centres[k % 12] + rng.normal(scale=0.35, size=8)).tolist()) for k in range(260)] + [(300, [1.0, 2.0]), (301, [1.0, 2.1]), (302, None)]
+    got = {r.vec_id: r for r in vectors.vector_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    count, component = link_truth(rows)
+    assert {i: r.n_links for i, r in got.items()} == {i: count[k] for k, (i, _) in enumerate(rows)}
+    assert {i: r.component_id for i, r in got.items()} == component
+
+
+def test_links_of_a_leaf_of_close_copies():
+    x = vectors._unit([[1.0, 2.0, 3.0]] * 600 + [[-1.0, 0.5, 2.0]])
+    tree, ones = vectors.Tree(x), np.ones(601, np.int64)
+    assert vectors.dual_links(tree, tree, ones, ones, True)[0].tolist() == [599] * 600 + [0]
+    got = vectors.dual_links(tree, vectors.Tree(x[:600]), ones, ones[:600], False)
+    assert got[0].tolist() == [600] * 600 + [0] and got[1].tolist() == [600] * 600
+
+
 def test_tree_covers():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(900, 6))

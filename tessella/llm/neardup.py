@@ -9,7 +9,8 @@ probability of about 1e-5. Signature-close documents form blobs, and inside a bl
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -100,55 +101,90 @@ class Forest:
             self.edges.append((i, j))
 
 
-def close_forest(sigs: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that span the pairs within MAX_DISTANCE whose sizes allow the similarity."""
-    forest = Forest(len(sigs))
-    for i in range(len(sigs) - 1):
-        near = (sigs[i + 1 :] != sigs[i]).sum(1) <= MAX_DISTANCE
-        low, high = np.minimum(sizes[i + 1 :], sizes[i]), np.maximum(sizes[i + 1 :], sizes[i])
-        for j in np.flatnonzero(near & (100 * low >= PERCENT * high)).tolist():
-            forest.join(i, i + 1 + j)
-    return forest.edges
+def _spanned(n: int, half: int, near: Callable[[int, int, int], list[int]]) -> list[tuple[int, int]]:
+    """Edges that span what near(i, first, last), the members of a range close to i, tells of n members.
 
+    Members from half on are of a second block (half is n if there is none). Then only the edges are told that join trees of the two
+    blocks: the trees inside a block are told where it meets itself. Each search ends when there is nothing left to join.
+    """
+    forest = Forest(n)
+
+    def search(first: int, last: int, start: int | None, wanted: int) -> None:
+        for i in range(first, last):
+            if len(forest.edges) == wanted:
+                return
+            for j in near(i, i + 1 if start is None else start, last if start is None else n):
+                forest.join(i, j)
+
+    search(0, half, None, half - 1)
+    search(half, n, None, len(forest.edges) + n - half - 1)
+    if half == n:
+        return forest.edges
+    inside = len(forest.edges)
+    search(0, half, half, n - 1)
+    return forest.edges[inside:]
+
+
+def close_forest(sigs: np.ndarray, sizes: np.ndarray, half: int | None = None) -> list[tuple[int, int]]:
+    """Edges that span the pairs within MAX_DISTANCE whose sizes allow the similarity; see _spanned for half."""
+
+    def near(i: int, first: int, last: int) -> list[int]:
+        low, high = np.minimum(sizes[first:last], sizes[i]), np.maximum(sizes[first:last], sizes[i])
+        close = (sigs[first:last] != sigs[i]).sum(1) <= MAX_DISTANCE
+        return (first + np.flatnonzero(close & (100 * low >= PERCENT * high))).tolist()
+
+    return _spanned(len(sigs), len(sigs) if half is None else half, near)
 
-def exact_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that span the pairs of sets with the similarity, found by counting common members over an inverted list."""
-    forest = Forest(len(sets))
+
+def exact_forest(sets: list[np.ndarray], half: int | None = None) -> list[tuple[int, int]]:
+    """Edges that span the pairs of sets with the similarity, found by counting common members over an inverted list; see _spanned for half."""
     sizes = np.array([len(s) for s in sets])
     every = np.concatenate(sets)
     owner = np.repeat(np.arange(len(sets)), sizes)
     order = np.argsort(every, kind="stable")
     every, owner = every[order], owner[order]
-    for i, s in enumerate(sets):
+
+    @cache
+    def like(i: int) -> np.ndarray:
+        s = sets[i]
         low, high = np.searchsorted(every, s), np.searchsorted(every, s, "right")
         n = high - low
         if n.sum() == len(s):
-            continue  # nothing in common with any other
+            return np.zeros(0, int)  # nothing in common with any other
         spots = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
         common = np.bincount(owner[spots], minlength=len(sets))
-        for j in np.flatnonzero(100 * common >= PERCENT * (sizes + len(s) - common)).tolist():
-            if j > i:
-                forest.join(i, j)
-    return forest.edges
+        return np.flatnonzero(100 * common >= PERCENT * (sizes + len(s) - common))
+
+    def near(i: int, first: int, last: int) -> list[int]:
+        found = like(i)
+        return found[(found >= first) & (found < last)].tolist()
+
+    return _spanned(len(sets), len(sets) if half is None else half, near)
 
 
 def _blocks(members: DataFrame, group: str, size: str) -> DataFrame:
     """Deal the members of a group out to pairs of blocks (i <= j), so that any two meet in one of them.
 
     A group of up to two blocks is not split. The block is a hash of the id, and a member goes to as many pairs as there are blocks.
+    A pair's rows are to be sorted by block, so that the second one's come last.
     """
     n = F.when(F.col(size) <= 2 * BLOCK, 1).otherwise(F.ceil(F.col(size) / BLOCK)).cast("int")
     dealt = members.withColumn("blocks", n).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "block", "other")
+    return dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("blocks", "other")
 
 
 #: Groups of up to so many members are compared row against row for a whole batch at once.
 SMALL = 16
 
 
-def _close_pairs(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
-    """Edges inside each run of equal group numbers: all close pairs of small groups, a spanning forest of large ones."""
+def _half(block: np.ndarray) -> int:
+    """Where the second block of a pair begins."""
+    return int(np.searchsorted(block, block[0], "right"))
+
+
+def _close_pairs(group: np.ndarray, block: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sigs: np.ndarray) -> list[np.ndarray]:
+    """Edges inside each run of equal group numbers: all close pairs of small groups, a spanning forest of large ones, of which a pair of blocks has its own part."""
     edges = []
     first, last = np.flatnonzero(np.diff(group, prepend=-1)), np.flatnonzero(np.diff(group, append=-1)) + 1
     small = np.repeat(last - first <= SMALL, last - first)
@@ -162,7 +198,7 @@ def _close_pairs(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, sigs: np
         edges.append(np.stack([ids[at], ids[at + d]], 1))
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a > SMALL:
-            found = close_forest(sigs[a:b], sizes[a:b])
+            found = close_forest(sigs[a:b], sizes[a:b], _half(block[a:b]))
             edges.append(ids[a:b][np.array(found, int).reshape(-1, 2)])
     return edges
 
@@ -196,8 +232,13 @@ def _numbered(rows: pa.Table, keys: list[str]) -> np.ndarray:
 
 
 def _pairs(edges: list[np.ndarray]) -> pa.RecordBatch:
+    """Edges that span what these edges, of one or many groups, join: fewer than there are ids."""
     every = np.concatenate([np.zeros((0, 2), np.int64), *edges])
-    every = np.unique(np.sort(every, 1), axis=0) if len(every) else every
+    ids, at = np.unique(every, return_inverse=True)
+    forest = Forest(len(ids))
+    for a, b in np.unique(np.sort(at.reshape(-1, 2), 1), axis=0).tolist():
+        forest.join(a, b)
+    every = ids[np.array(forest.edges, int).reshape(-1, 2)]
     return pa.record_batch([pa.array(every[:, 0]), pa.array(every[:, 1])], ["a", "b"])
 
 
@@ -205,23 +246,25 @@ def _close_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["key", "i", "j"]
     for rows in _grouped(batches, keys, 20_000, 1 << 24):
         sigs = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        yield _pairs(_close_pairs(_numbered(rows, keys), rows.column("id").to_numpy(), rows.column("n_shingles").to_numpy(), sigs))
+        block, ids, sizes = (rows.column(n).to_numpy() for n in ("block", "id", "n_shingles"))
+        yield _pairs(_close_pairs(_numbered(rows, keys), block, ids, sizes, sigs))
 
 
 def _exact_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys = ["blob", "i", "j"]
     for rows in _grouped(batches, keys, 5_000, 1 << 24):
-        group, ids = _numbered(rows, keys), rows.column("id").to_numpy()
+        group, block, ids = _numbered(rows, keys), rows.column("block").to_numpy(), rows.column("id").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("set").to_pylist()]
         cut = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
-        yield _pairs([ids[a:b][np.array(exact_forest(sets[a:b]), int).reshape(-1, 2)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
+        yield _pairs([ids[a:b][np.array(exact_forest(sets[a:b], _half(block[a:b])), int).reshape(-1, 2)] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row.
 
     Texts with equal sets are one class from the start, represented by the smallest doc_id; only classes are indexed. A bucket
-    that holds a third of all rows is compared in pairs of blocks that send on a spanning forest, never all pairs. Null and empty texts link with nothing. A row with a null
+    that holds a third of all rows is compared in pairs of blocks that send on a spanning forest of the bucket, with an edge or more only where two
+    blocks' trees meet, never all pairs. Null and empty texts link with nothing. A row with a null
     doc_id founds no class: it takes the component of an equal text, if there is one, and is then not kept. Fewer than five words
     are one shingle. A long text is one task's work, in memory of about 50 bytes a word. Repeated rows get equal results. An empty table gives none, and other columns are ignored.
     """
@@ -236,8 +279,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     index = classes.select("id", F.explode(F.array(*_keys())).alias("key"))
     shared = index.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = index.join(shared, "key").join(classes.select("id", "n_shingles", "sig"), "id")
-    dealt = _blocks(members, "key", "size").select("key", "i", "j", "id", "n_shingles", "sig")
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "id")
+    dealt = _blocks(members, "key", "size").select("key", "i", "j", "block", "id", "n_shingles", "sig")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "block", "id")
     close = written(map_arrow(dealt, _close_edges, "a long, b long").distinct(), "near-close")
     blob = connected_components(close.select(F.explode(F.array("a", "b")).alias("id")).distinct(), close, "near-blob")
     blob = written(blob.withColumnRenamed("component", "blob"), "near-blobs")
@@ -249,7 +292,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _packed_sets, "id long, set binary")
     # rows that repeat a doc_id would meet themselves
     sets = sets.join(inside, "id").dropDuplicates(["id", "set"])
-    dealt = _blocks(sets, "blob", "size").select("blob", "i", "j", "id", "set").repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "id")
+    dealt = _blocks(sets, "blob", "size").select("blob", "i", "j", "block", "id", "set").repartition("blob", "i", "j").sortWithinPartitions("blob", "i", "j", "block", "id")
     links = written(map_arrow(dealt, _exact_edges, "a long, b long").where("a != b").distinct(), "near-links")
     joined = connected_components(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), links, "near-component")
     # only classes that have copies or links change anything

@@ -47,6 +47,44 @@ def test_near_duplicates(make, docs, corpus, monkeypatch, block):
     assert all(r.n_shingles == len(sets[i]) and r.kept == (want[i] == i) for i, r in got.items())
 
 
+def test_edges_of_a_large_group_grow_with_its_size(spark, make, monkeypatch):
+    """Blocks of one group are joined by an edge for each two of their trees, not by a forest of all members in each pair of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    made, close, exact = {}, neardup._close_edges, neardup._exact_edges
+    for name, edges in (("close", close), ("exact", exact)):
+        total = made[name] = spark.sparkContext.accumulator(0)
+
+        def counting(batches, edges=edges, total=total):
+            for b in edges(batches):
+                total.add(b.num_rows)
+                yield b
+
+        monkeypatch.setattr(neardup, f"_{name}_edges", counting)
+    rng = random.Random(9)
+    base = [f"v{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:at], f"own{k}", *base[at + 1 :]])) for k in range(320) for at in [rng.randrange(200)]]
+    got = neardup.near_duplicates(make(rows)).collect()
+    assert {r.component_id for r in got} == {0} and sum(r.kept for r in got) == 1
+    blocks = 320 // 16
+    assert made["exact"].value <= 320 + blocks * blocks / 2, made["exact"].value
+    assert made["close"].value <= 64 * (320 + blocks * blocks / 2), made["close"].value
+
+
+def test_forests_of_blocks_join_what_one_forest_joins():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        n, half = int(rng.integers(2, 40)), int(rng.integers(1, 40))
+        half = min(half, n)
+        sets = [np.unique(rng.integers(0, 12, 10)).astype(np.uint64) for _ in range(n)]
+        sigs = np.where(rng.random((n, 64)) < 0.35, rng.integers(1, 9, (n, 64)), 0).astype(np.uint16)
+        for whole, parts in (
+            (neardup.exact_forest(sets), [neardup.exact_forest(sets[:half]), neardup.exact_forest(sets[half:]) if half < n else [], neardup.exact_forest(sets, half)]),
+            (neardup.close_forest(sigs, np.full(n, 9)), [neardup.close_forest(sigs[:half], np.full(half, 9)), neardup.close_forest(sigs[half:], np.full(n - half, 9)), neardup.close_forest(sigs, np.full(n, 9), half)]),
+        ):
+            edges = parts[0] + [(a + half, b + half) for a, b in parts[1]] + (parts[2] if half < n else [])
+            assert components(range(n), edges) == components(range(n), whole) and len(edges) == len(whole)
+
+
 def test_near_duplicates_of_odd_tables(make):
     assert neardup.near_duplicates(make([])).count() == 0
     got = neardup.near_duplicates(make([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, None), (6, None)])).collect()

@@ -21,6 +21,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def plain(e: Any) -> bool:
+    """No sub-query inside."""
+    if isinstance(e, (n.Scalar, n.InQuery)):
+        return False
+    if hasattr(e, "__dataclass_fields__"):
+        return all(plain(getattr(e, f)) for f in e.__dataclass_fields__)
+    return all(map(plain, e)) if isinstance(e, tuple) else True
+
+
 @dataclass
 class Bound:
     """Values of a statement's literals, by the marker that stands for each."""
@@ -129,6 +138,10 @@ class Renderer:
                 return f"({self(arg)} IS NULL AND false)" if not negated else f"({self(arg)} IS NULL OR true)"
             case n.InList(arg, items, negated):
                 return f"({self(arg)} {'NOT ' * negated}IN ({', '.join(map(self, items))}))"
+            case n.InQuery(arg, query, True) if plain(arg):
+                # Spark pairs all rows for a NOT IN inside an expression; a positive IN becomes a join on equality
+                x, rows = self(arg), self.query(query, True)
+                return f"(CASE WHEN {x} IS NOT NULL THEN NOT coalesce({x} IN ({rows}), false) WHEN NOT EXISTS ({rows}) THEN true END)"
             case n.InQuery(arg, query, negated):
                 return f"({self(arg)} {'NOT ' * negated}IN ({self.query(query, negated)}))"
             case n.Like(arg, n.Lit(str() as pattern), negated):

@@ -14,7 +14,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import SyntaxProblem
-from ..functions.scalar import Bound, Renderer, Scope, quoted
+from ..functions.scalar import Bound, Renderer, Scope, plain, quoted
 from ..plans import nodes as n
 
 
@@ -80,11 +80,15 @@ class Compiler:
 
         A NULL x passes only if the sub-query gives nothing.
         """
-        if not isinstance(e, n.InQuery) or not e.negated or not _plain(e.arg):
+        if not isinstance(e, n.InQuery) or not e.negated or not plain(e.arg):
             return None
         x, rows = value(e.arg), self.inner(e.query, True)
         return f"(NOT EXISTS (SELECT 1 FROM ({rows}) AS __not_in(v) WHERE __not_in.v = {x}) AND ({x} IS NOT NULL OR NOT EXISTS (SELECT 1 FROM ({rows}) AS __not_in(v))))"
 
+    def where(self, e: Any, value: Callable[[Any], str]) -> str:
+        """A WHERE's predicate, with anti joins for its NOT IN conjuncts."""
+        return " AND ".join(self.without(c, value) or value(c) for c in _conjuncts(e))
+
     def kind(self, query: n.Select | n.Union) -> str:
         """The kind of a sub-query's first column."""
         q = query if isinstance(query, n.Select) else query.branches[0]
@@ -132,7 +136,7 @@ class Compiler:
             names.append(name)
         out = f"SELECT {'DISTINCT ' * q.distinct}{', '.join(columns)} FROM {text}"
         if q.where is not None:
-            out += " WHERE " + " AND ".join(self.without(c, value) or value(c) for c in _conjuncts(q.where))
+            out += f" WHERE {self.where(q.where, value)}"
         if q.group:
             out += " GROUP BY " + ", ".join(render(c) for c in q.group)
         if q.having is not None:
@@ -168,15 +172,6 @@ def _conjuncts(e: Any) -> list[Any]:
     return [*_conjuncts(e.left), *_conjuncts(e.right)] if isinstance(e, n.Op) and e.op == "AND" else [e]
 
 
-def _plain(e: Any) -> bool:
-    """No sub-query inside."""
-    if isinstance(e, (n.Scalar, n.InQuery)):
-        return False
-    if hasattr(e, "__dataclass_fields__"):
-        return all(_plain(getattr(e, f)) for f in e.__dataclass_fields__)
-    return all(map(_plain, e)) if isinstance(e, tuple) else True
-
-
 def _first_rows(e: Any) -> Any:
     """The expression with every scalar sub-query limited to one row."""
     if isinstance(e, n.Scalar):
